@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from wakeline.llm.bpe import op4_bpe
 from wakeline.llm.url_filter import OP6_SQL, op6_url_filters
 
 QUERIES = {
+    "op4_bpe": op4_bpe,
     "op6_url_filters": op6_url_filters,
 }
 
