@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from wakeline.llm.bpe import op4_bpe
+from wakeline.llm.knn import OP2_SQL, op2_knn
 from wakeline.llm.url_filter import OP6_SQL, op6_url_filters
 
 QUERIES = {
+    "op2_knn": op2_knn,
     "op4_bpe": op4_bpe,
     "op6_url_filters": op6_url_filters,
 }
 
 ORACLE_SQL = {
+    "op2_knn": OP2_SQL,
     "op6_url_filters": OP6_SQL,
 }
