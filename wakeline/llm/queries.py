@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from wakeline.llm.bpe import op4_bpe
 from wakeline.llm.knn import OP2_SQL, op2_knn
+from wakeline.llm.resampling import op3_resampling
 from wakeline.llm.toxicity import op5_toxicity
 from wakeline.llm.url_filter import OP6_SQL, op6_url_filters
 
 QUERIES = {
+    "op3_resampling": op3_resampling,
     "op5_toxicity": op5_toxicity,
     "op2_knn": op2_knn,
     "op4_bpe": op4_bpe,
