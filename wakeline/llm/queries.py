@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wakeline.llm.bpe import op4_bpe
+from wakeline.llm.decontamination import op9_decontamination
 from wakeline.llm.fixity import OP1_SQL, op1_fixity
 from wakeline.llm.knn import OP2_SQL, op2_knn
 from wakeline.llm.line_dedup import OP8_SQL, op8_line_dedup
@@ -11,6 +12,7 @@ from wakeline.llm.toxicity import op5_toxicity
 from wakeline.llm.url_filter import OP6_SQL, op6_url_filters
 
 QUERIES = {
+    "op9_decontamination": op9_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op1_fixity": op1_fixity,
     "op3_resampling": op3_resampling,
