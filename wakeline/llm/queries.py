@@ -9,10 +9,12 @@ from wakeline.llm.knn import OP2_SQL, op2_knn
 from wakeline.llm.line_dedup import OP8_SQL, op8_line_dedup
 from wakeline.llm.near_dup import op7_near_dup
 from wakeline.llm.resampling import op3_resampling
+from wakeline.llm.suffix_dedup import op10_suffix_dedup
 from wakeline.llm.toxicity import op5_toxicity
 from wakeline.llm.url_filter import OP6_SQL, op6_url_filters
 
 QUERIES = {
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op7_near_dup": op7_near_dup,
     "op9_decontamination": op9_decontamination,
     "op8_line_dedup": op8_line_dedup,
