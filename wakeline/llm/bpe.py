@@ -25,10 +25,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
+
+from wakeline.llm.shared import append_columns
 
 CACHE = 300_000  # words kept per worker; a full cache is emptied
 SLICE = 1_000_000  # characters of text that are encoded together
@@ -267,22 +269,23 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     """
     shared = docs.sparkSession.sparkContext.broadcast(_definition(vocabulary))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["n_tokens", *(("ids", "decoded") if keep_ids else ()), "ids_sha256", "decoded_sha256"]
+
+    def make():
         bpe = WordBpe(shared.value)
-        for batch in batches:
+
+        def encode(texts: list) -> list[list]:
             rows = []
-            for ids, n, decoded in bpe.encode_many([t or "" for t in batch["text"]]):
+            for ids, n, decoded in bpe.encode_many([t or "" for t in texts]):
                 digests = hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
                 rows.append((n, ids, decoded, *digests) if keep_ids else (n, *digests))
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "id", batch["id"].array)
-            yield out
+            return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in names]
+
+        return encode
 
-    names = ["n_tokens", *(("ids", "decoded") if keep_ids else ()), "ids_sha256", "decoded_sha256"]
-    kinds = ", ".join(f"{n} {'long' if n == 'n_tokens' else 'string'}" for n in names)
-    kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, f"id {kind}, {kinds}").withColumnRenamed("id", id_col)
+    outputs = [(n, LongType() if n == "n_tokens" else StringType()) for n in names]
+    return append_columns(picked, make, ["text"], outputs).drop("text").withColumnRenamed("id", id_col)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

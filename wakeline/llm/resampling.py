@@ -34,9 +34,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from wakeline.llm.hashing import KEPT, mix, slices
-from wakeline.llm.shared import cut
+from wakeline.llm.shared import append_columns, cut
 
 BITS = 16  # hashed n-gram buckets, as a power of two
 SAMPLE = 20_000  # most labelled texts that the boundary is fitted on
@@ -163,21 +164,20 @@ def boundary(good: np.ndarray, bad: np.ndarray) -> float:
 def keyed(docs: DataFrame, model: Resampler, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, seed: int = SEED) -> DataFrame:
     """``importance``, ``logit`` and ``gumbel_key`` of every row, with its id, or with all its columns (``keep``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs if keep else docs.select(id_col, text_col)
+    own = (docs if keep else docs.select(id_col, text_col)).withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = NgramHash()
-        for batch in batches:
-            texts, ids = [t or "" for t in batch[text_col]], batch["__id"].tolist()
-            s = shared.value.importance(texts, seen)
-            logit, key = shared.value.keys(ids, texts, s, seed)
-            out = batch.drop(columns=["__id"] if keep else ["__id", text_col])
-            yield out.assign(__importance=s, __logit=logit, __key=key)
-
-    names = own.columns if keep else [id_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name in names)
-    out = own.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return out.mapInPandas(run, f"{schema}, __importance double, __logit double, __key double")
+    def make():
+        seen, model_ = NgramHash(), shared.value
+
+        def run(ids: list, texts: list) -> list[np.ndarray]:
+            texts = [t or "" for t in texts]
+            s = model_.importance(texts, seen)
+            return [s, *model_.keys(ids, texts, s, seed)]
+
+        return run
+
+    out = append_columns(own, make, ["__id", text_col], [(n, DoubleType()) for n in ("__importance", "__logit", "__key")])
+    return out.drop("__id") if keep else out.drop("__id", text_col)
 
 
 def kth_largest(values: DataFrame, col: str, k: int) -> float:

@@ -1,10 +1,12 @@
-"""Where intermediate tables go: the folder that the cluster names in spark.checkpoint.dir."""
+"""Intermediate tables in the folder that the cluster names in spark.checkpoint.dir, and columns computed in Arrow batches."""
 
 from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -18,3 +20,26 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a checkpoint."""
     use_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def append_columns(df: DataFrame, make, inputs: list[str], outputs: list[tuple[str, DataType]]) -> DataFrame:
+    """The rows as they came with more columns, computed in Arrow batches.
+
+    ``make()`` is called once per worker and returns a function of the input columns' values (lists) that
+    returns one list or array per output.  The other columns pass as Arrow arrays, whatever their types and nulls.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(kind) for _, kind in outputs]
+    names = [*df.columns, *[n for n, _ in outputs]]
+
+    def run(batches):
+        function = make()
+        for batch in batches:
+            at = [df_columns.index(c) for c in inputs]
+            values = function(*[batch.column(i).to_pylist() for i in at])
+            more = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
+
+    df_columns = list(df.columns)
+    return df.mapInArrow(run, StructType([*df.schema.fields, *[StructField(n, k) for n, k in outputs]]))

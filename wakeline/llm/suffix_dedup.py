@@ -32,9 +32,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType
 
 from wakeline.llm.hashing import mix, seeded, slices
-from wakeline.llm.shared import cut
+from wakeline.llm.shared import append_columns, cut
 
 LENGTH = 400  # bytes of a window
 GRAM = 64  # bytes of a hashed string; a power of two
@@ -260,7 +261,7 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _bytes(texts: pd.Series) -> list[bytes]:
+def _bytes(texts) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
@@ -364,30 +365,28 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = texts.groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole", F.lit(True).alias("copied"))
     slim = cut(hit.join(copies, "whole", "full_outer"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text, marks_, copied in zip(_bytes(batch["text"]), batch["marks"], batch["copied"], strict=True):
-                gone = np.zeros(len(text) + 1, np.int32)
-                if copied is True:
-                    gone[0], gone[-1] = 1, -1
-                elif marks_ is not None:
-                    for m in marks_:
-                        np.add.at(gone, m["first"] + np.asarray(m["froms"]), 1)
-                        np.add.at(gone, m["first"] + np.asarray(m["tos"]) + LENGTH - 1, -1)
-                mask = np.cumsum(gone[:-1]) > 0
-                a, b = spans(mask)
-                kept = text if not len(a) else np.frombuffer(text, np.uint8)[~mask].tobytes()
-                out.append((len(text), len(text) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), *((kept,) if keep_bytes else ())))
-            frame = pd.DataFrame(out, columns=names)
-            frame.insert(0, "id", batch["id"].array)
-            yield frame
-
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept",) if keep_bytes else ())]
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
+
+    def strip(texts: list, marks: list, copied: list) -> list[list]:
+        out = []
+        for text, own, copy in zip(_bytes(texts), marks, copied, strict=True):
+            gone = np.zeros(len(text) + 1, np.int32)
+            if copy:
+                gone[0], gone[-1] = 1, -1
+            else:
+                for m in own or ():
+                    np.add.at(gone, m["first"] + np.asarray(m["froms"]), 1)
+                    np.add.at(gone, m["first"] + np.asarray(m["tos"]) + LENGTH - 1, -1)
+            mask = np.cumsum(gone[:-1]) > 0
+            a, _ = spans(mask)
+            kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if len(a) else text
+            out.append((len(text), len(text) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), *((kept,) if keep_bytes else ())))
+        return [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in names]
+
+    kinds = [LongType(), LongType(), LongType(), StringType(), *((BinaryType(),) if keep_bytes else ())]
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), whole.alias("whole"))
-    return own.join(slim, "whole", "left").select("id", "text", "marks", "copied").mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    found = append_columns(own.join(slim, "whole", "left"), lambda: strip, ["text", "marks", "copied"], list(zip(names, kinds, strict=True)))
+    return found.select(F.col("id").alias(id_col), *names)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

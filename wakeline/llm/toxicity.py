@@ -30,8 +30,10 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from wakeline.llm.hashing import KEPT, slices
+from wakeline.llm.shared import append_columns
 
 BITS = 31  # hashed columns, as a power of two
 LEAST = 6  # texts of the sample that a column with a weight occurs in
@@ -180,15 +182,13 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
     """``id_col`` and score (0 to 1) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = TermHash({int(c): n for n, c in enumerate(shared.value.columns)})
-        for batch in batches:
-            rows = [term_columns(t or "", seen) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"].array, "score": shared.value.probability(rows)})
+    def make():
+        model = shared.value
+        seen = TermHash({int(c): n for n, c in enumerate(model.columns)})
+        return lambda texts: [model.probability([term_columns(t or "", seen) for t in texts])]
 
-    kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return append_columns(picked, make, ["text"], [("score", DoubleType())]).drop("text").withColumnRenamed("id", id_col)
 
 
 def held_out(doc_id: Column) -> Column:
