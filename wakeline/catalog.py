@@ -1,15 +1,285 @@
-"""Registered queries of the track-analytics operators and their DuckDB SQL."""
+"""Registered queries of the track-analytics operators and their DuckDB SQL.
+
+The driver's tables hold no vessel reports, so each operator runs over the columns there
+that are like its own: ``events`` for identities and times, ``lineitem`` for boxes, names from ``part``
+and ``customer``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wakeline.functions import scalars
+from wakeline.functions.curve import CURVES, key_column, key_sql, scale
+from wakeline.operators.identities import identities, in_time, last_known
+from wakeline.operators.predicates import TrackQuery, day_counts, group_counts, semi_join
+from wakeline.plans.planner import plan
+from wakeline.reporting import sweep_table
+from wakeline.sources.csv_ingest import raw_rows, typed
+from wakeline.sources.layouts import Layout, axis_bounds, partition_keys, read_layout, write_layout
+
+Q = TrackQuery(time_column="ts")
+SHIP = TrackQuery(time_column="l_shipdate")
+_DATES = "'1997-01-01'", "'1997-02-01'"
+_BOX = "l_quantity BETWEEN 10 AND 20 AND l_extendedprice BETWEEN 20000 AND 40000"
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+FLAGSHIP = "identity_rollup"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _track(name: str, table: str, query: TrackQuery, sql: str, *columns: str) -> None:
+    """Register a declarative query; ``columns`` are those of a rows query."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = query.run(_table(spark, sf_dir, table))
+        return out.select(*columns) if columns else out
+
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+def _register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def box(query: TrackQuery) -> TrackQuery:
+    return query.box((10, 20), (20000, 40000), "l_quantity", "l_extendedprice")
+
+
+# Point lookups, names, times, boxes and their combinations.
+_EV = "event_id, ts, user_id, event_type, value"
+_E = tuple(_EV.split(", "))
+_track("point_eq", "events", Q.one_of("user_id", 42).closing("rows"), f"SELECT {_EV} FROM events WHERE user_id = 42", *_E)
+_track("point_in", "events", Q.one_of("user_id", 3, 42, 77, 101, 149), "SELECT count(*) AS n FROM events WHERE user_id IN (3, 42, 77, 101, 149)")
+_track("string_eq", "customer", Q.one_of("c_mktsegment", "MACHINERY"), "SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'MACHINERY'")
+_track(
+    "string_in", "customer", Q.one_of("c_mktsegment", "MACHINERY", "FURNITURE"), "SELECT count(*) AS n FROM customer WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE')"
+)
+_track("string_prefix", "part", Q.prefix("p_name", "red"), "SELECT count(*) AS n FROM part WHERE starts_with(p_name, 'red')")
+_track("string_substring", "part", Q.substring("p_name", "widget"), "SELECT count(*) AS n FROM part WHERE contains(p_name, 'widget')")
+for _n, _a, _b in (("day", "2024-01-20", "2024-01-21"), ("week", "2024-01-14", "2024-01-21"), ("month", "2024-01-01", "2024-02-01"), ("hour", "2024-01-20 04", "2024-01-20 05")):
+    _sql = [f"TIMESTAMP '{t}{':00:00' if ' ' in t else ' 00:00:00'}'" for t in (_a, _b)]
+    _track(f"time_{_n}", "events", Q.during(_a, _b), f"SELECT count(*) AS n FROM events WHERE ts >= {_sql[0]} AND ts < {_sql[1]}")
+_track("bbox", "lineitem", box(SHIP), f"SELECT count(*) AS n FROM lineitem WHERE {_BOX}")
+_track("open_range", "lineitem", SHIP.between("l_quantity", 10, None, low_closed=False), "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 10")
+_track(
+    "bbox_time",
+    "lineitem",
+    box(SHIP).during("1997-01-01", "1997-02-01"),
+    f"SELECT count(*) AS n FROM lineitem WHERE {_BOX} AND l_shipdate >= {_DATES[0]} AND l_shipdate < {_DATES[1]}",
+)
+_track("type_bbox", "lineitem", box(SHIP).one_of("l_returnflag", "R"), f"SELECT count(*) AS n FROM lineitem WHERE {_BOX} AND l_returnflag = 'R'")
+_track(
+    "id_time",
+    "events",
+    Q.one_of("user_id", 42).during("2024-01-14", "2024-01-21").closing("rows"),
+    f"SELECT {_EV} FROM events WHERE user_id = 42 AND ts >= '2024-01-14' AND ts < '2024-01-21'",
+    *_E,
+)
+_track("count_all", "events", Q, "SELECT count(*) AS n FROM events")
+_track("count_groups", "events", Q.closing("groups", "event_type"), "SELECT count(DISTINCT event_type) AS n FROM events")
+_track("count_days", "events", Q.closing("days"), "SELECT count(DISTINCT ts::DATE) AS n FROM events")
+_track("distinct_ids", "events", Q.closing("distinct", "user_id"), "SELECT count(DISTINCT user_id) AS n FROM events")
+
+
+@_register("SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+def group_type(spark, sf_dir):
+    return group_counts(_table(spark, sf_dir, "events"), "event_type")
+
+
+@_register("SELECT ts::DATE AS day, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def count_by_day(spark, sf_dir):
+    return day_counts(_table(spark, sf_dir, "events"), "ts")
+
+
+@_register("SELECT count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)")
+def id_list(spark, sf_dir):
+    ids = _table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("l_suppkey"))
+    return semi_join(_table(spark, sf_dir, "lineitem"), ids, "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("SELECT DISTINCT year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day FROM events")
+def day_partitions(spark, sf_dir):
+    return partition_keys(_table(spark, sf_dir, "events"), "ts")
+
+
+@_register("SELECT min(l_quantity) AS low_a, max(l_quantity) AS high_a, min(l_extendedprice) AS low_b, max(l_extendedprice) AS high_b FROM lineitem")
+def bounds(spark, sf_dir):
+    t = _table(spark, sf_dir, "lineitem")
+    return t.agg(*[f(c).alias(f"{k}_{n}") for n, c in (("a", "l_quantity"), ("b", "l_extendedprice")) for k, f in (("low", F.min), ("high", F.max))])
+
+
+@_register("SELECT c_custkey, TRY_CAST(substr(c_custkey::VARCHAR, 1, 1) AS INT) AS digit FROM customer")
+def first_digit(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", scalars.first_digit(F.col("c_custkey")).alias("digit"))
+
+
+@_register(
+    """
+SELECT user_id, event_type, max(ts) AS last_ts, count(*) AS n,
+       arg_max(value, (ts, event_id)) AS last_value, arg_max(event_id, (ts, event_id)) AS last_event
+FROM events GROUP BY user_id, event_type"""
+)
+def identity_rollup(spark, sf_dir):
+    """Last known values of each identity, in one aggregation."""
+    order = in_time("ts", ["event_id"])
+    return (
+        _table(spark, sf_dir, "events")
+        .groupBy("user_id", "event_type")
+        .agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), last_known("value", order).alias("last_value"), last_known("event_id", order).alias("last_event"))
+    )
+
+
+@_register(
+    """
+SELECT user_id, event_type, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, value, event_id) - 1)::INT AS pos, ts, value, event_id FROM events"""
+)
+def identity_positions(spark, sf_dir):
+    """The ordered track of each identity, one row per position."""
+    rolled = identities(_table(spark, sf_dir, "events"), ("user_id", "event_type"), "ts", (), ("ts", "value", "event_id"))
+    return rolled.select("user_id", "event_type", F.posexplode("Positions").alias("pos", "p")).select("user_id", "event_type", "pos", "p.*")
+
+
+_ROLLUP_DAYS = """
+SELECT user_id, event_type, ts::DATE AS "Day", max(ts) AS "LastKnownDate", count(*) AS positions,
+       arg_max(value, (ts, value, event_id)) AS value
+FROM events GROUP BY 1, 2, 3"""
+
+
+@_register(_ROLLUP_DAYS)
+def identity_days(spark, sf_dir):
+    """The roll-up by day: no row grows beyond a day's positions."""
+    rolled = identities(_table(spark, sf_dir, "events"), ("user_id", "event_type"), "ts", ("value",), ("ts", "event_id"), daily=True)
+    return rolled.select("user_id", "event_type", "Day", "LastKnownDate", F.size("Positions").cast("long").alias("positions"), "value")
+
+
+_BOUNDS = ((1.0, 50.0), (0.0, 120000.0))
+_X, _Y = (f"floor(least(greatest(({c} - {lo}::DOUBLE) / {hi - lo}::DOUBLE, 0), 1) * 2147483647 + 0.5)" for c, (lo, hi) in zip(("l_quantity", "l_extendedprice"), _BOUNDS, strict=True))
+
+
+def _curve(name: str, corrected: bool) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _table(spark, sf_dir, "lineitem")
+        key = key_column(CURVES[name], [F.col("l_quantity"), F.col("l_extendedprice")], list(_BOUNDS))
+        return t.select("l_orderkey", "l_linenumber", "l_partkey", key.alias("curve_key"))
+
+    QUERIES[f"curve_{name}"] = run
+    ORACLE_SQL[f"curve_{name}"] = key_sql(_X, _Y, "lineitem", "l_orderkey, l_linenumber, l_partkey", corrected=corrected)
+
+
+_curve("compat2d", False)
+_curve("hilbert2d", True)
+
+
+@_register(f"SELECT l_orderkey, l_linenumber, l_partkey, ({_X})::BIGINT AS x, ({_Y})::BIGINT AS y FROM lineitem")
+def curve_scale(spark, sf_dir):
+    x, y = (scale(F.col(c), lo, hi, CURVES["hilbert2d"].top) for c, (lo, hi) in zip(("l_quantity", "l_extendedprice"), _BOUNDS, strict=True))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", x.alias("x"), y.alias("y"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder for a layout that a query writes and reads: in the shared folder, or a temporary one without (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wakeline-")
+    return f"{base}/layout-{uuid.uuid4().hex}"
+
+
+def _layout(name: str, table: str, layout: Layout, query: TrackQuery, sql: str) -> None:
+    """Register a query that writes a table in a layout and runs over it with implied predicates."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _scratch(spark)
+        write_layout(_table(spark, sf_dir, table), path, layout)
+        df, held = read_layout(spark, path)
+        return plan(df, query, held)
+
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+_AXES = {"partitioned": False, "time_column": "l_shipdate", "axes": ("l_quantity", "l_extendedprice")}
+_IDS = (3, 42, 77)
+_layout(
+    "layout_days",
+    "events",
+    Layout("days", blooms=("user_id",), bloom_ndv=20_000, time_column="ts"),
+    Q.one_of("user_id", *_IDS).during("2024-01-14", "2024-01-21"),
+    f"SELECT count(*) AS n FROM events WHERE user_id IN {_IDS} AND ts >= '2024-01-14' AND ts < '2024-01-21'",
+)
+for _c in ("hilbert2d", "compat2d"):
+    _layout(f"layout_{_c}", "lineitem", Layout(_c, curve=_c, **_AXES), box(SHIP), f"SELECT count(*) AS n FROM lineitem WHERE {_BOX}")
+_layout(
+    "layout_hilbert3d",
+    "events",
+    Layout("track", curve="hilbert3d", time_column="ts", axes=("ts", "user_id", "value")),
+    Q.between("user_id", 10, 60).between("value", 5, 20).during("2024-01-14", "2024-01-21"),
+    "SELECT count(*) AS n FROM events WHERE user_id BETWEEN 10 AND 60 AND value BETWEEN 5 AND 20 AND ts >= '2024-01-14' AND ts < '2024-01-21'",
+)
+
+
+@_register(
+    """
+SELECT event_id AS "MMSI", date_trunc('second', ts) AS "BaseDateTime", (user_id / 4.0)::FLOAT AS "LAT", event_type AS "VesselName",
+       CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS "IMO", event_type = 'click' AS "TransceiverClass" FROM events"""
+)
+def csv_ingest(spark, sf_dir):
+    """Position lines made of events, through the line filter and the typed projection."""
+    e = _table(spark, sf_dir, "events")
+    text = F.concat_ws(
+        ",",
+        F.col("event_id").cast("string"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
+        (F.col("user_id") / 4).cast("string"),
+        *[F.lit("")] * 4,
+        F.col("event_type"),
+        F.when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("IMO"), F.col("user_id").cast("string"))),
+        *[F.lit("")] * 7,
+        F.when(F.col("event_type") == "click", F.lit("B")).otherwise(F.lit("A")),
+    )
+    noise = spark.createDataFrame([("MMSI,BaseDateTime,LAT",), ("1,2,3",)], "value string")
+    lines = e.select(text.alias("value")).unionByName(noise)
+    return typed(raw_rows(lines)).select("MMSI", "BaseDateTime", "LAT", "VesselName", "IMO", "TransceiverClass")
+
+
+@_register(
+    """
+SELECT l_linenumber, round(exp(avg(ln(l_extendedprice)) FILTER (l_returnflag = 'A')), 4) AS "A",
+       round(exp(avg(ln(l_extendedprice)) FILTER (l_returnflag = 'N')), 4) AS "N",
+       round(exp(avg(ln(l_extendedprice)) FILTER (l_returnflag = 'R')), 4) AS "R" FROM lineitem GROUP BY 1"""
+)
+def geometric_means(spark, sf_dir):
+    """A sweep's heat map: geometric means by two parameters."""
+    table = sweep_table(_table(spark, sf_dir, "lineitem"), "l_linenumber", "l_returnflag", "l_extendedprice")
+    return table.select("l_linenumber", *[F.round(c, 4).alias(c) for c in ("A", "N", "R")])
+
 
-def count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.count("*").alias("n"))
+@_register(
+    """
+SELECT event_type, user_id, n, (row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id))::INT AS rank
+FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) <= 5"""
+)
+def top_ranked(spark, sf_dir):
+    """The five most active of each group, as a report ranks layouts."""
+    n = _table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id"))
+    return n.withColumn("rank", rank).where("rank <= 5")
 
 
-QUERIES = {"count_all": count_all}
-ORACLE_SQL = {"count_all": "SELECT count(*) AS n FROM events"}
-FLAGSHIP = "count_all"
+@_register("SELECT min(l_quantity) AS low_a, max(l_quantity) AS high_a FROM lineitem")
+def layout_bounds(spark, sf_dir):
+    """Bounds as layouts keep them."""
+    ((low, high),) = axis_bounds(_table(spark, sf_dir, "lineitem"), ("l_quantity",))
+    return spark.range(1).select(F.lit(low).alias("low_a"), F.lit(high).alias("high_a"))
