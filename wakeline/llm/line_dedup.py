@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.shared import cut
+
 WINDOW = 2  # line hashes that the rolling hash covers
 DIVISOR = 2  # one line in so many ends a chunk
 _BASE, _MODULUS = 257, 2147483647
@@ -46,8 +48,8 @@ def with_chunks(docs: DataFrame, text_col: str) -> DataFrame:
     ends = F.filter(F.transform("__last", lambda end, i: F.when(end, i + 1)), lambda i: i.isNotNull())
     out = out.withColumn("__ends", F.when(F.size("__last") > 0, ends))
     starts = F.concat(F.array(F.lit(0)), F.slice("__ends", 1, F.size("__ends") - 1))
-    cut = F.zip_with(starts, "__ends", lambda a, b: F.slice("__lines", a + 1, b - a))
-    return out.withColumn("__chunks", F.when(F.size("__lines") > 0, cut)).drop("__hashes", "__last", "__ends")
+    parts = F.zip_with(starts, "__ends", lambda a, b: F.slice("__lines", a + 1, b - a))
+    return out.withColumn("__chunks", F.when(F.size("__lines") > 0, parts)).drop("__hashes", "__last", "__ends")
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,7 +66,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     at = F.struct("id", "whole", "place")
     keyed = found.withColumn("key", F.xxhash64("chunk"))
     often = keyed.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("key")
-    again = keyed.join(often, "key", "left_semi")
+    again = cut(keyed.join(often, "key", "left_semi"))  # the repeated chunks only, which two steps read
     firsts = again.groupBy("key", "chunk").agg(F.min(at).alias("first"))
     later = again.join(firsts, ["key", "chunk"]).where(~F.struct("id", "whole", "place").eqNullSafe(F.col("first")))
     return later.groupBy("id", "whole").agg(F.collect_set("place").alias("places"))
