@@ -36,8 +36,8 @@ from wakeline.llm.hashing import KEPT, slices
 from wakeline.llm.shared import append_columns
 
 BITS = 31  # hashed columns, as a power of two
-LEAST = 6  # texts of the sample that a column with a weight occurs in
-CHI_SQUARE = 20.0  # evidence in the sample that a column goes with either class
+LEAST = 4  # texts of the sample that a column with a weight occurs in
+CHI_SQUARE = 11.0  # evidence in the sample that a column goes with either class
 FACTORS = 4  # length of each term's pairwise vector
 SAMPLE = 20_000  # most labelled texts that the model is fitted on
 OPENING = 4  # letters of a word's opening
@@ -81,7 +81,7 @@ class FactorizationMachine:
         self.columns = columns  # hashed columns with a weight, sorted
         self.w0 = 0.0
         self.w = np.zeros(len(columns), np.float32)
-        self.v = rng.normal(0, 0.02, (len(columns), factors)).astype(np.float32)
+        self.v = rng.normal(0, 0.1, (len(columns), factors)).astype(np.float32)
 
     def margins(self, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Scores before the logistic function; ``starts`` has each row's first place in ``index`` and its end."""
@@ -92,14 +92,17 @@ class FactorizationMachine:
         squares = np.add.reduceat((v * v).sum(1), starts[:-1]) * (sizes > 0)
         return self.w0 + linear + 0.5 * ((sums * sums).sum(1) - squares) / np.maximum(sizes, 1)
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 5, batch: int = 128, rate: float = 0.1, penalty: float = 2e-3) -> None:
-        """Logistic loss with squared penalties, Adagrad, both classes of equal weight; rows hold places in ``columns``."""
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, steps: int = 3000, batch: int = 128, rate: float = 0.1, penalty: float = 2e-3) -> None:
+        """Logistic loss with squared penalties, Adagrad, both classes of equal weight; rows hold places in ``columns``.
+
+        ``steps`` batches at least, in whole passes over the rows.
+        """
         rng = np.random.default_rng(11)
         share = labels.mean()
         weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
         factors = self.v.shape[1]
         g0, gw, gv = 1.0, np.full(len(self.w), 0.1, np.float32), np.full(self.v.shape, 0.1, np.float32)
-        for _ in range(epochs):
+        for _ in range(max(5, -(-steps * batch // len(rows)))):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
