@@ -129,7 +129,8 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 some = np.flatnonzero(weight > 0)
                 yield pd.DataFrame({"whole": batch["whole"].to_numpy()[start:end][some], "weight": weight[some], "hashes": list(hashes[some])})
 
-    one = docs.mapInPandas(run, "whole string, weight long, hashes array<long>").dropDuplicates(["whole"])
+    # Signatures are computed once; two steps read them.
+    one = cut(docs.mapInPandas(run, "whole string, weight long, hashes array<long>").dropDuplicates(["whole"]))
     return one.select("whole", "weight", F.explode("hashes").alias("bucket"))
 
 
