@@ -296,7 +296,7 @@ def test_urls(spark):
     rows = [
         (1, "HTTP://A.Example.COM/en/75?x"), (2, None), (3, "nope"), (None, "x://com/en/"), (5, "a://b.com?x/en/"), (5, "a://org/es/#"), (7, "a://xorg/es/"),
         (8, "s://q.net/de/81"), (9, "s://q.example.net/de/81"), (9, "s://q.example.net/de/81"), (10, "s://example.com/en/7"), (11, "s://com/EN/"), (12, "://"),
-        (13, "a\nb://x.com/en/\n"), (14, "s://" + "a." * 300 + "com/en/" + "p/" * 2000), (15, ""), (16, "s://É.COM/en/é"), (17, "u://a://b.com/en/"),
+        (13, "a\nb://x.com/en/\n"), (14, "s://" + "a." * 20 + "com/en/" + "p/" * 100), (15, ""), (16, "s://É.COM/en/é"), (17, "u://a://b.com/en/"),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 as host", "2 as rule", "3 as verdict")
     rules = spark.createDataFrame([*url_filter.RULES, ("com", None, "block")], "host string, path string, action string")
