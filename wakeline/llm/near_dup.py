@@ -13,7 +13,8 @@ Candidates.  Signatures are cut in bands; texts that share a band are
 candidates.  Every bucket is compared with a few of its members at a time: those that stand in
 another component than the compared member are verified on the exact
 multisets, links merge components, compared members leave the bucket, and the number of
-members compared at once doubles, until each bucket lies in one component.  So
+members compared at once grows fourfold, until each bucket lies in one component.  A pair
+counts in the smallest bucket that both texts share and only there, so it is verified once at most.  So
 no candidate pair is skipped unless its texts are already joined, while a bucket of copies
 costs one comparison a member.
 
@@ -116,7 +117,7 @@ def _digest(text_col: str):
 
 
 def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(whole, weight, bucket): the band hashes of each distinct text with words, and its number of shingles."""
+    """(whole, weight, hashes, bucket): a row for each band hash of each distinct text with words, and its number of shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = WordHash()
@@ -131,7 +132,7 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     # Signatures are computed once; two steps read them.
     one = cut(docs.mapInPandas(run, "whole string, weight long, hashes array<long>").dropDuplicates(["whole"]))
-    return one.select("whole", "weight", F.explode("hashes").alias("bucket"))
+    return one.select("whole", "weight", "hashes", F.explode("hashes").alias("bucket"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -177,11 +178,12 @@ def links(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows:
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("whole"))
         chosen = own.withColumn("rank", rank).where(F.col("rank") <= width).drop("rank") if width > 1 else None
         if chosen is None:
-            chosen = own.groupBy("bucket").agg(F.min(F.struct("whole", "weight", "root")).alias("m")).select("bucket", "m.*")
-        one = chosen.select("bucket", F.col("whole").alias("v"), F.col("weight").alias("vw"), F.col("root").alias("vr"))
+            chosen = own.groupBy("bucket").agg(F.min(F.struct("whole", "weight", "hashes", "root")).alias("m")).select("bucket", "m.*")
+        one = chosen.select("bucket", F.col("whole").alias("v"), F.col("weight").alias("vw"), F.col("root").alias("vr"), F.col("hashes").alias("vh"))
         pairs = (
             own.join(one, "bucket")
             .where((F.col("root") != F.col("vr")) & (F.least("weight", "vw") >= least * F.greatest("weight", "vw")))
+            .where(F.array_min(F.array_intersect("hashes", "vh")) == F.col("bucket"))
             .select(F.greatest("whole", "v").alias("u"), F.least("whole", "v").alias("v"))
             .distinct()
         )
@@ -189,8 +191,8 @@ def links(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows:
         known = new if found is None else new.union(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
         found = roots = components(known)
         gone = chosen.select("bucket", "whole")
-        members = cut(own.select("bucket", "whole", "weight").join(gone, ["bucket", "whole"], "left_anti"))
-        width *= 2
+        members = cut(own.select("bucket", "whole", "weight", "hashes").join(gone, ["bucket", "whole"], "left_anti"))
+        width *= 4
     return found if found is not None else texts.select(F.col("whole").alias("node"), F.col("whole").alias("root")).limit(0)
 
 
