@@ -10,11 +10,11 @@ run in step until no later point can win.  Two texts' components are equal with
 a probability of their weighted Jaccard similarity, without bias.
 
 Candidates.  Signatures are cut in bands; texts that share a band are
-candidates.  Every bucket is compared with a few of its members at a time: those that stand in
+candidates, unless their weights alone or a sketch (two bits of each component) rule them out.
+Every bucket is compared with a few of its members at a time: those that stand in
 another component than the compared member are verified on the exact
 multisets, links merge components, compared members leave the bucket, and the number of
-members compared at once grows fourfold, until each bucket lies in one component.  A pair
-counts in the smallest bucket that both texts share and only there, so it is verified once at most.  So
+members compared at once grows fourfold, until each bucket lies in one component.  So
 no candidate pair is skipped unless its texts are already joined, while a bucket of copies
 costs one comparison a member.
 
@@ -41,6 +41,7 @@ from wakeline.llm.shared import cut
 WORDS = 5  # words of a shingle
 SIMILARITY = 0.8  # weighted Jaccard similarity of a link
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band with a probability of 3e-6
+SPREAD = 5.6  # standard deviations of two sketches' differing places; a linked pair has more with a probability below 1e-6
 _SLICE = 2_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,12 +113,31 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each component, 32 components a word; places that are left over are 0."""
+    bits = np.zeros((len(sig), -(-sig.shape[1] // 32) * 32), np.uint64)
+    bits[:, : sig.shape[1]] = mix(sig.view(np.uint64)) & np.uint64(3)
+    return (bits.reshape(len(sig), -1, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def unlike(a: str, b: str, words: int):
+    """The number of components in which two sketches (array columns) differ."""
+    differ = [F.col(a)[k].bitwiseXOR(F.col(b)[k]) for k in range(words)]
+    return sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in differ), F.lit(0))
+
+
+def most_unlike(least: float, size: int) -> int:
+    """The most components in which the sketches of a pair of that similarity differ."""
+    p = 0.75 * (1 - least)
+    return int(size * p + SPREAD * (size * p * (1 - p)) ** 0.5)
+
+
 def _digest(text_col: str):
-    return F.coalesce(F.md5(text_col), F.lit("null"))
+    return F.coalesce(F.unhex(F.md5(text_col)), F.lit(b""))
 
 
 def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(whole, weight, hashes, bucket): a row for each band hash of each distinct text with words, and its number of shingles."""
+    """(whole, weight, sketch, bucket): a row for each band hash of each distinct text with words, and its number of shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = WordHash()
@@ -126,13 +146,13 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             for start, end in slices([len(t or "") for t in texts], _SLICE):
                 bags = [bag(t, seen) for t in texts[start:end]]
                 weight = np.array([b[1].sum() for b in bags], np.int64)
-                hashes = band_hashes(signatures(bags, bands * rows), bands, rows)
+                sig = signatures(bags, bands * rows)
                 some = np.flatnonzero(weight > 0)
-                yield pd.DataFrame({"whole": batch["whole"].to_numpy()[start:end][some], "weight": weight[some], "hashes": list(hashes[some])})
+                yield pd.DataFrame({"whole": batch["whole"].to_numpy()[start:end][some], "weight": weight[some], "sketch": list(sketches(sig)[some]), "hashes": list(band_hashes(sig, bands, rows)[some])})
 
     # Signatures are computed once; two steps read them.
-    one = cut(docs.mapInPandas(run, "whole string, weight long, hashes array<long>").dropDuplicates(["whole"]))
-    return one.select("whole", "weight", "hashes", F.explode("hashes").alias("bucket"))
+    one = cut(docs.mapInPandas(run, "whole binary, weight long, sketch array<long>, hashes array<long>").dropDuplicates(["whole"]))
+    return one.select("whole", "weight", "sketch", F.explode("hashes").alias("bucket"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -151,7 +171,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             yield pd.DataFrame(keep, columns=["u", "v", "similarity"])
 
     a, b = (texts.select(F.col("whole").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInPandas(run, "u string, v string, similarity double")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInPandas(run, "u binary, v binary, similarity double")
 
 
 def links(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -178,12 +198,12 @@ def links(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows:
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("whole"))
         chosen = own.withColumn("rank", rank).where(F.col("rank") <= width).drop("rank") if width > 1 else None
         if chosen is None:
-            chosen = own.groupBy("bucket").agg(F.min(F.struct("whole", "weight", "hashes", "root")).alias("m")).select("bucket", "m.*")
-        one = chosen.select("bucket", F.col("whole").alias("v"), F.col("weight").alias("vw"), F.col("root").alias("vr"), F.col("hashes").alias("vh"))
+            chosen = own.groupBy("bucket").agg(F.min(F.struct("whole", "weight", "sketch", "root")).alias("m")).select("bucket", "m.*")
+        one = chosen.select("bucket", F.col("whole").alias("v"), F.col("weight").alias("vw"), F.col("root").alias("vr"), F.col("sketch").alias("vs"))
         pairs = (
             own.join(one, "bucket")
             .where((F.col("root") != F.col("vr")) & (F.least("weight", "vw") >= least * F.greatest("weight", "vw")))
-            .where(F.array_min(F.array_intersect("hashes", "vh")) == F.col("bucket"))
+            .where(unlike("sketch", "vs", -(-bands * rows // 32)) <= most_unlike(least, bands * rows))
             .select(F.greatest("whole", "v").alias("u"), F.least("whole", "v").alias("v"))
             .distinct()
         )
@@ -191,7 +211,7 @@ def links(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows:
         known = new if found is None else new.union(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
         found = roots = components(known)
         gone = chosen.select("bucket", "whole")
-        members = cut(own.select("bucket", "whole", "weight", "hashes").join(gone, ["bucket", "whole"], "left_anti"))
+        members = cut(own.select("bucket", "whole", "weight", "sketch").join(gone, ["bucket", "whole"], "left_anti"))
         width *= 4
     return found if found is not None else texts.select(F.col("whole").alias("node"), F.col("whole").alias("root")).limit(0)
 
