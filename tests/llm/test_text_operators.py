@@ -277,6 +277,27 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.cut_repeats(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_splits_crowded_keys(spark):
+    rng = random.Random(8)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh é\n") for _ in range(n))
+
+    # Passages between different texts: shorter than a window, nearly one and longer; runs of one byte; copies.
+    passages = [noise(90), noise(250), noise(300), noise(345), noise(900)]
+    rows = [(k, noise(rng.randrange(250, 500)) + passages[k % 5] + noise(rng.randrange(250, 500))) for k in range(100)]
+    rows += [(200 + k, noise(50) + "z" * (380 + 9 * k) + "xy" * 220) for k in range(12)] + [(300, rows[4][1]), (301, rows[0][1])]
+    df = spark.createDataFrame(rows, DOC)
+    block = 6 * 736
+    got = sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in suffix_dedup.cut_repeats(df, block=block).collect())
+    assert got == removed_by_brute_force(rows)
+    texts = df.selectExpr("md5(text) as whole", "text")
+    filled, crowded = suffix_dedup._filters(texts, block)
+    assert len(crowded) == len(suffix_dedup.WIDTHS) - 1
+    dealt = suffix_dedup._segments(texts, filled, crowded, True).selectExpr("key", "segment", "octet_length(bytes) as n").distinct().groupBy("key").sum("n")
+    assert dealt.agg({"sum(n)": "max"}).first()[0] <= block
+
+
 def test_suffixes_are_sorted(monkeypatch):
     rng = random.Random(4)
     for alphabet in (b"ab", b"abcdefgh \n\xff\x00", b"a"):

@@ -10,6 +10,10 @@ run whose smallest string stands in one place only holds no repeat; a Bloom filt
 fixed size, spares sending it.  Runs go to their key's partition as segments (the
 run's bytes and the tail of its last window); equal segments count once, with a mark that they are several.
 
+Crowded keys.  A passage that stands between many different texts gives its key a segment from each.  The windows of a key
+whose distinct segments exceed a block are dealt out anew, by the smallest hash of longer strings in them and at last by
+the hash of the whole window (``WIDTHS``).  Equal windows still share their key, as each step looks at nothing but the window.
+
 Suffix arrays.  A partition's segments are handled in blocks of whole keys.  In a
 block, suffixes that are smaller than their successors are sorted directly (byte words first, then
 longer hashed strides while a group has not split), to the depth of a window; the others are induced by one scan over the
@@ -40,6 +44,7 @@ from wakeline.llm.shared import append_columns, cut
 LENGTH = 400  # bytes of a window
 GRAM = 64  # bytes of a hashed string; a power of two
 BITS = 26  # Bloom filter size, as a power of two
+WIDTHS = (GRAM, 256, 384, LENGTH)  # bytes of the strings whose smallest hash is the key, from step to step for crowded keys
 BLOCK = 2_000_000  # bytes of segments whose suffixes are sorted together
 _SLICE = 1 << 19  # bytes of text hashed together
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -73,24 +78,59 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def _windows(texts: list[bytes], length: int) -> Iterator[tuple]:
-    """Slices of texts: number of the first, each text's end, gram hashes, key and validity of each window, text of each window."""
+def widened(h: np.ndarray, width: int, wider: int) -> np.ndarray:
+    """Hash of each string of ``wider`` bytes from those of ``width`` bytes."""
+    while width < wider:
+        step = min(2 * width, wider)
+        h = mix_pair(h[: len(h) - step + width], h[step - width :])
+        width = step
+    return h
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values stand in a sorted array of at least one."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _label(h: np.ndarray, step: int) -> np.ndarray:
+    """The key that a string's hash gives at a step."""
+    return seeded(h, 5 + step) if step else h
+
+
+def _windows(texts: list[bytes], length: int, crowded: list[np.ndarray]) -> Iterator[tuple]:
+    """Slices of texts: number of the first, each text's end and begin, key, validity, text and step of each window, hashes and lowest ones of the last step.
+
+    ``crowded`` has the sorted keys of each step whose windows take the next one.  The lowest hash is 0 where a window does not reach the last step.
+    """
     for start, end in slices([len(t) for t in texts], _SLICE):
         data = np.frombuffer(b"".join(texts[start:end]), np.uint8)
         if len(data) >= length:
-            grams = gram_hashes(data)
-            key = window_minima(grams, length - GRAM + 1)
+            h = gram_hashes(data)
+            key = lowest = window_minima(h, length - GRAM + 1)
             sizes = np.array([len(t) for t in texts[start:end]])
             ends = np.cumsum(sizes)
             own = np.repeat(np.arange(end - start), sizes)[: len(key)]
-            yield start, ends, ends - sizes, grams, key, np.arange(len(key)) + length <= ends[own], own
-
-
-def runs(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, first window, windows, key) of each run of windows of one key, slice by slice."""
-    for start, _, begins, _, key, valid, own in _windows(texts, length):
+            valid = np.arange(len(key)) + length <= ends[own]
+            step = np.zeros(len(key), np.int8)
+            for n, known in enumerate(crowded):
+                on = valid & (step == n) & among(key, known)
+                if not on.any():
+                    lowest = np.zeros(len(key), np.uint64)
+                    h = widened(h, WIDTHS[n], WIDTHS[len(crowded)])
+                    break
+                h = widened(h, WIDTHS[n], WIDTHS[n + 1])
+                low = window_minima(h, length - WIDTHS[n + 1] + 1)
+                lowest = np.where(on, low, np.uint64(0))
+                key = np.where(on, _label(low, n + 1), key)
+                step[on] = n + 1
+            yield start, ends, ends - sizes, key, valid, own, step, h, lowest
+
+
+def runs(texts: list[bytes], length: int = LENGTH, crowded: list[np.ndarray] = ()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, first window, windows, key) of each run of windows of one key, slice by slice; whole windows are runs of their own."""
+    for start, _, begins, key, valid, own, step, _, _ in _windows(texts, length, crowded):
         fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | ~valid[:-1]
+        fresh[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | ~valid[:-1] | (step[1:] != step[:-1]) | (step[1:] == len(WIDTHS) - 1)
         first = np.flatnonzero(fresh & valid)
         if len(first):
             closing = np.append(np.flatnonzero(fresh | ~valid), len(key))
@@ -98,16 +138,18 @@ def runs(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray,
             yield own[first] + start, first - begins[own[first]], stop - first, key[first]
 
 
-def anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, place, key) of each gram that is the smallest of some window, slice by slice."""
-    for start, ends, begins, grams, key, valid, _ in _windows(texts, length):
-        # The largest key of the windows around a gram equals it just if it is the smallest of one of them.
-        width = length - GRAM
-        around = np.concatenate([np.zeros(width, np.uint64), np.where(valid, key, np.uint64(0)), np.zeros(width, np.uint64)])
+def anchors(texts: list[bytes], length: int = LENGTH, crowded: list[np.ndarray] = ()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, place, key) of each string of the last step that is the smallest of some window there, slice by slice."""
+    width = length - WIDTHS[len(crowded)]
+    for start, ends, begins, _, valid, _, _, h, lowest in _windows(texts, length, crowded):
+        if not lowest.any():
+            continue
+        # The largest key of the windows around a string equals it just if it is the smallest of one of them.
+        around = np.concatenate([np.zeros(width, np.uint64), np.where(valid, lowest, np.uint64(0)), np.zeros(width, np.uint64)])
         largest = ~window_minima(~around, width + 1)
-        at = np.flatnonzero(largest[: len(grams)] == grams)
+        at = np.flatnonzero(largest[: len(h)] == h)
         own = np.searchsorted(ends, at, "right")
-        yield own + start, at - begins[own], grams[at]
+        yield own + start, at - begins[own], _label(h[at], len(crowded))
 
 
 def bloom_places(key: np.ndarray) -> list[np.ndarray]:
@@ -265,18 +307,58 @@ def _bytes(texts) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def _repeated_keys(texts: DataFrame) -> DataFrame:
-    """(key): keys whose gram stands in more than one place, copies of whole texts counting once."""
+def _repeated_keys(texts: DataFrame, crowded: list[np.ndarray]) -> DataFrame:
+    """(key, n): keys of the last step whose string stands in more than one place, copies of whole texts counting once, and its rows."""
+    shared = texts.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             whole = np.array([int(w[:16], 16) for w in batch["whole"]], np.uint64)
-            for text, at, key in anchors(_bytes(batch["text"])):
+            for text, at, key in anchors(_bytes(batch["text"]), crowded=shared.value):
                 place = mix(seeded(whole[text], 5) + at.astype(np.uint64))
                 yield pd.DataFrame({"key": key.view(np.int64), "place": place.view(np.int64)})
 
     found = texts.mapInPandas(run, "key long, place long")
-    return found.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("key")
+    return found.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
+
+
+def _crowded(texts: DataFrame, crowded: list[np.ndarray], asked: np.ndarray, block: int) -> np.ndarray:
+    """The keys among ``asked``, sorted, whose distinct segments have more than ``block`` bytes."""
+    shared = texts.sparkSession.sparkContext.broadcast((crowded, asked))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        crowded, asked = shared.value
+        for batch in batches:
+            own = _bytes(batch["text"])
+            for text, first, windows, key in runs(own, crowded=crowded):
+                on = among(key, asked)
+                rows = zip(text[on].tolist(), first[on].tolist(), windows[on].tolist(), strict=True)
+                part = [int.from_bytes(hashlib.md5(own[t][f : f + w + LENGTH - 1]).digest()[:8], "big", signed=True) for t, f, w in rows]
+                yield pd.DataFrame({"key": key[on].view(np.int64), "part": np.array(part, np.int64), "n": windows[on] + LENGTH - 1})
+
+    parts = texts.mapInPandas(run, "key long, part long, n long").distinct()
+    return _sorted_keys(parts.groupBy("key").agg(F.sum("n").alias("n")), block)
+
+
+def _sorted_keys(counted: DataFrame, most: int) -> np.ndarray:
+    """The keys with a count above ``most``; in all texts at most one place in so many gives one."""
+    return np.sort(np.array([r["key"] for r in counted.where(F.col("n") > most).select("key").collect()], np.int64).view(np.uint64))
+
+
+def _filters(texts: DataFrame, block: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The Bloom filter of the repeated keys of all steps, and the crowded keys of each step but the last."""
+    crowded: list[np.ndarray] = []
+    keys = own = cut(_repeated_keys(texts, crowded))
+    while len(crowded) < len(WIDTHS) - 1:
+        known = _sorted_keys(own, block // (2 * LENGTH - GRAM))  # a place's windows have that many bytes at most; equal segments are one
+        if len(known):
+            known = _crowded(texts, crowded, known, block)
+        if not len(known):
+            break
+        crowded.append(known)
+        own = cut(_repeated_keys(texts, crowded))
+        keys = keys.unionByName(own)
+    return _bloom(keys.select("key")), crowded
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
@@ -294,15 +376,15 @@ def _bloom(keys: DataFrame) -> np.ndarray:
     return filled
 
 
-def _segments(texts: DataFrame, filled: np.ndarray, with_bytes: bool) -> DataFrame:
+def _segments(texts: DataFrame, filled: np.ndarray, crowded: list[np.ndarray], with_bytes: bool) -> DataFrame:
     """Runs whose key may repeat: key, segment (its bytes' digest), whole, first, and the bytes or the windows."""
-    shared = texts.sparkSession.sparkContext.broadcast(filled)
+    shared = texts.sparkSession.sparkContext.broadcast((filled, crowded))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
+        bits, crowded = shared.value
         for batch in batches:
             whole, own = batch["whole"].to_numpy(), _bytes(batch["text"])
-            for text, first, windows, key in runs(own):
+            for text, first, windows, key in runs(own, crowded=crowded):
                 ok = np.ones(len(key), bool)
                 for at in bloom_places(key):
                     ok &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -354,13 +436,16 @@ def _marked(segments: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "key long, segment binary, froms array<int>, tos array<int>")
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
-    """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 of every row, and the kept bytes on request."""
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False, block: int = BLOCK) -> DataFrame:
+    """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 of every row, and the kept bytes on request.
+
+    A key with more than ``block`` bytes of distinct segments is dealt out anew; results do not depend on it.
+    """
     whole = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.select(whole.alias("whole"), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH)
-    filled = _bloom(_repeated_keys(texts))
-    marks = _marked(_segments(texts, filled, True))
-    places = _segments(texts, filled, False).dropDuplicates(["whole", "first"])
+    filled, crowded = _filters(texts, block)
+    marks = _marked(_segments(texts, filled, crowded, True))
+    places = _segments(texts, filled, crowded, False).dropDuplicates(["whole", "first"])
     hit = places.join(marks, ["key", "segment"]).groupBy("whole").agg(F.collect_list(F.struct("first", "froms", "tos")).alias("marks"))
     copies = texts.groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole", F.lit(True).alias("copied"))
     slim = cut(hit.join(copies, "whole", "full_outer"))
