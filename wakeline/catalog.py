@@ -149,9 +149,16 @@ def identity_rollup(spark, sf_dir):
 SELECT user_id, event_type, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, value, event_id) - 1)::INT AS pos, ts, value, event_id FROM events"""
 )
 def identity_positions(spark, sf_dir):
-    """The ordered track of each identity, one row per position."""
-    rolled = identities(_table(spark, sf_dir, "events"), ("user_id", "event_type"), "ts", (), ("ts", "value", "event_id"))
-    return rolled.select("user_id", "event_type", F.posexplode("Positions").alias("pos", "p")).select("user_id", "event_type", "pos", "p.*")
+    """The ordered track of each identity, one row per position; rows in between hold a day's positions at most."""
+    events, by = _table(spark, sf_dir, "events"), ("user_id", "event_type", "Day")
+    days = identities(events, ("user_id", "event_type"), "ts", (), ("ts", "value", "event_id"), daily=True)
+    # The positions of earlier days, counted apart so that only counts of an identity's days meet in one task; the day of null times is the last.
+    counts = events.groupBy("user_id", "event_type", F.to_date("ts").alias("Day")).agg(F.count(F.lit(1)).alias("n"))
+    until = Window.partitionBy("user_id", "event_type").orderBy(F.col("Day").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = counts.select(*[F.col(c).alias(f"of_{c}") for c in by], F.coalesce(F.sum("n").over(until), F.lit(0)).alias("earlier"))
+    placed = days.join(earlier, [days[c].eqNullSafe(earlier[f"of_{c}"]) for c in by])
+    rows = placed.select("user_id", "event_type", "earlier", F.posexplode("Positions").alias("pos", "p"))
+    return rows.select("user_id", "event_type", (F.col("pos") + F.col("earlier")).cast("int").alias("pos"), "p.*")
 
 
 _ROLLUP_DAYS = """
