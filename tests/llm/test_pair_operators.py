@@ -129,6 +129,21 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert knn.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_top_k_keeps_all_vectors_of_an_id(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(9)
+    # Ids with several vectors, queries among them; id 100 has more than the bounds allow for, at the top of all scores.
+    rows = [(int(i), [float(x) for x in rng.normal(0, 1, 5)]) for i in [*range(400), *range(0, 400, 7), *[200] * 12]]
+    rows += [(100, [float(x) for x in rng.normal(5, 0.1, 5)]) for _ in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = knn.top_k(df, df.where("vec_id % 100 = 0"), pivots=8).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(map(tuple, got)) == sorted(con.execute(knn.OP2_SQL).fetchall())
+    assert len({(r["query_id"], r["vec_id"]) for r in got}) < len(got)
+
+
 def test_scores_beyond_doubles_are_exact():
     a, b = np.array([[2.0**40, 3.0]]), np.array([[2.0**21, 1.0], [2.0**40, 1.0]])
     assert knn._scores(a, b).tolist() == [[2**61 + 3, 2**63 - 1]]

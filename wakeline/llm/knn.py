@@ -16,9 +16,9 @@ cut to the range of a long.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part, nor do rows without an id; a vector is scored only
-against vectors of its own length.  An id is one item: repeated rows count once,
-and of several vectors under one id the smallest stands.  A query never returns
-its own id.
+against vectors of its own length.  Rows with the same id and vector count once; different
+vectors under one id are candidates each, and queries each, ranked together by the query's id.  A query
+never returns its own id.
 """
 
 from __future__ import annotations
@@ -33,18 +33,19 @@ from pyspark.sql import functions as F
 PIVOTS = 64  # cells; their vectors are the only ones that the driver sees
 CELL_BLOCK = 4096  # vectors of a cell that are solved together
 QUERY_BLOCK = 2048  # queries that are solved together
+OWN = 16  # vectors under a query's own id that the bounds allow for; with more of them a query goes to all cells
 _LONG = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): one row per id with a usable vector, components floor(scale * x) as doubles."""
+    """(id, v): the distinct ids and usable vectors, components floor(scale * x) as doubles."""
     v = F.col(vector_col)
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return (
         vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & usable)
-        .select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
+        .select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+        .distinct()
+        .select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
     )
 
 
@@ -86,8 +87,8 @@ class Cells:
         dist = np.sqrt(((data - p[best]) ** 2).sum(1)) * (1 + 1e-9) + 1e-6
         return self.names[dim][best], dist
 
-    def search(self, dim: int, queries: np.ndarray, k: int) -> np.ndarray:
-        """Which of ``names[dim]`` each query has to search."""
+    def search(self, dim: int, queries: np.ndarray, k: int, same: np.ndarray) -> np.ndarray:
+        """Which of ``names[dim]`` each query has to search; ``same`` counts the vectors under its own id."""
         names, p = self.names[dim], self.pivots[dim]
         product, norm = queries @ p.T, np.sqrt((queries * queries).sum(1))[:, None] * (1 + 1e-9)
         slack = 1e-9 * np.abs(product) + 1e-6
@@ -95,9 +96,12 @@ class Cells:
         at = np.repeat(np.arange(len(names)), [len(self.least[c]) for c in names])
         least = np.array([d for c in names for d in self.least[c]])
         lowest = product[:, at] - norm * least - slack[:, at]
-        if lowest.shape[1] <= k:  # the query itself may be among them
-            return np.repeat((self.size[names] > 0)[None], len(queries), 0)
-        reached = -np.partition(-lowest, k, axis=1)[:, k]
+        # The query's own vectors may be among them, so k others reach the bound that comes after as many more.
+        reached = np.full(len(queries), -np.inf)
+        place = k + np.maximum(same, 1) - 1
+        for p in np.unique(place[place < min(lowest.shape[1], k + OWN)]):
+            on = place == p
+            reached[on] = -np.partition(-lowest[on], p, axis=1)[:, p]
         return (highest >= reached[:, None]) & (self.size[names] > 0)
 
 
@@ -105,9 +109,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     """Each query's k highest-scoring other vectors: query_id, rank (from 1), ``id_col``, score; ties to smaller ids."""
     spark = vectors.sparkSession
     data, asked = quantised(vectors, id_col, vector_col, scale), quantised(queries, id_col, vector_col, scale)
+    same = data.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("same"))
+    asked = asked.join(same, "id", "left").fillna(0, ["same"])
     # A pivot for every vector length, then others by hash order: at most `pivots` and the number of lengths.
-    first = data.groupBy(F.size("v").alias("dim")).agg(F.min_by("v", F.xxhash64("id")).alias("v")).select("v")
-    others = data.orderBy(F.xxhash64("id"), "id").select("v").limit(pivots)
+    first = data.groupBy(F.size("v").alias("dim")).agg(F.min_by("v", F.xxhash64("id", "v")).alias("v")).select("v")
+    others = data.orderBy(F.xxhash64("id", "v"), "id", "v").select("v").limit(pivots)
     cells = Cells(sorted({tuple(r["v"]) for r in first.union(others).collect()}, key=lambda v: (len(v), v)))
     shared = spark.sparkContext.broadcast(cells)
 
@@ -124,24 +130,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         for batch in batches:
             for cell, own in batch.groupby("cell"):
                 n, far, least = seen.get(cell, (0, 0.0, []))
-                seen[cell] = n + len(own), max(far, own["dist"].max()), sorted([*least, *own["dist"].nsmallest(k + 1)])[: k + 1]
+                seen[cell] = n + len(own), max(far, own["dist"].max()), sorted([*least, *own["dist"].nsmallest(k + OWN)])[: k + OWN]
         yield pd.DataFrame([(c, *x) for c, x in seen.items()], columns=["cell", "n", "far", "least"])
 
     parts = in_cell.select("cell", "dist").mapInPandas(summarise, "cell int, n long, far double, least array<double>")
     summary = parts.groupBy("cell").agg(
-        F.sum("n").alias("n"), F.max("far").alias("far"), F.slice(F.array_sort(F.flatten(F.collect_list("least"))), 1, k + 1).alias("least")
+        F.sum("n").alias("n"), F.max("far").alias("far"), F.slice(F.array_sort(F.flatten(F.collect_list("least"))), 1, k + OWN).alias("least")
     )
     for r in summary.collect():  # a row for each cell
         cells.size[r["cell"]], cells.radius[r["cell"]], cells.least[r["cell"]] = r["n"], r["far"], list(r["least"])
     bounds = spark.sparkContext.broadcast(cells)
     blocks = F.lit((cells.size // CELL_BLOCK + 1).astype(int).tolist() or [1]).cast("array<int>")
-    members = in_cell.select("cell", F.pmod(F.xxhash64("id"), F.element_at(blocks, F.col("cell") + 1).cast("long")).cast("int").alias("block"), "id", "v")
+    members = in_cell.select("cell", F.pmod(F.xxhash64("id", "v"), F.element_at(blocks, F.col("cell") + 1).cast("long")).cast("int").alias("block"), "id", "v")
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, own in batch.groupby(batch["v"].map(len)):
                 if dim in bounds.value.names:
-                    row, at = np.nonzero(bounds.value.search(dim, _matrix(own["v"]), k))
+                    row, at = np.nonzero(bounds.value.search(dim, _matrix(own["v"]), k, own["same"].to_numpy()))
                     yield pd.DataFrame({"cell": bounds.value.names[dim][at].astype(np.int32), "id": own["id"].to_numpy()[row], "v": own["v"].to_numpy()[row]})
 
     sent = asked.mapInPandas(replicate, "cell int, id long, v array<double>")
@@ -152,7 +158,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     left = sent.select(
         "cell",
         F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("cell") + 1) - 1)).alias("block"),
-        F.pmod(F.xxhash64("id"), groups_of.cast("long")).cast("int").alias("part"),
+        F.pmod(F.xxhash64("id", "v"), groups_of.cast("long")).cast("int").alias("part"),
         "id",
         "v",
     )
