@@ -168,6 +168,14 @@ def test_csv_ingest(spark, tmp_path):
     assert ingest(spark, str(tmp_path / "in"), max_rows=2).count() == 2
 
 
+def test_skipped_lines_are_cut_before_they_are_gathered(spark):
+    lines = [(f"{k:03}" + "x" * 300, f) for k in range(40) for f in ("a", "b", None)] + [("000" + "x" * 300, "a"), ("," * 16, "a"), (None, "a")]
+    out = skipped_lines(spark.createDataFrame(lines, "value string, file string"))
+    want = [f"{k:03}" + "x" * 197 for k in range(5)]
+    assert {r["file"]: (r["skipped"], r["samples"]) for r in out.collect()} == {"a": (41, want), "b": (40, want), None: (40, want)}
+    assert "WindowGroupLimit" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_streaming_ingest_takes_each_file_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     paths = [str(tmp_path / x) for x in ("in", "out", "state")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import scalars
@@ -31,7 +31,12 @@ def raw_rows(lines: DataFrame) -> DataFrame:
 def skipped_lines(lines: DataFrame) -> DataFrame:
     """Per file: lines skipped (headers too) and the first five of them."""
     bad = lines.where(~well_formed(F.col("value")))
-    return bad.groupBy("file").agg(F.count("*").alias("skipped"), F.slice(F.array_sort(F.collect_set(F.substring("value", 1, 200))), 1, 5).alias("samples"))
+    counts = bad.groupBy("file").agg(F.count("*").alias("skipped"))
+    distinct = bad.select(F.col("file").alias("of"), F.substring("value", 1, 200).alias("line")).distinct()
+    # The limit on the row number drops lines within each task before they are sent on.
+    rank = F.row_number().over(Window.partitionBy("of").orderBy("line"))
+    first = distinct.withColumn("rank", rank).where("rank <= 5").groupBy("of").agg(F.array_sort(F.collect_list("line")).alias("samples"))
+    return counts.join(first, F.col("file").eqNullSafe(F.col("of"))).select("file", "skipped", "samples")
 
 
 def typed(raw: DataFrame) -> DataFrame:
