@@ -374,6 +374,26 @@ def test_audit_equals_comparison(spark):
     assert {r["state"] for r in fixity.audit(x, y.limit(0)).collect()} == {"missing"}
 
 
+def test_audit_hashes_the_bytes_of_both_replicas(spark):
+    a = [(f, 1000 * n, f"{f} {n}".encode()) for f in (None, 1, 2) for n in range(900)]
+    b = [(f, o, p[:-1] + b"!" if o % 97_000 == 5000 else p) for f, o, p in a if o % 101_000 != 7000]
+    b += [(2, 900_500, b"added"), (3, 0, b"added"), (1, 2_000_000, None)]
+    kinds = "file long, offset long, payload binary"
+    digest = lambda p: None if p is None else hashlib.sha256(p).hexdigest()
+    left, right = {x[:2]: digest(x[2]) for x in a}, {x[:2]: digest(x[2]) for x in b}
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in fixity.audit(spark.createDataFrame(a, kinds), spark.createDataFrame(b, kinds)).collect()}
+    for k in {*left, *right} - {(1, 2_000_000)}:
+        if left.get(k) == right.get(k):
+            assert k not in got
+        else:
+            assert got[k] == ("corrupt" if k in left and k in right else "missing" if k in left else "extra", left.get(k), right.get(k))
+    assert got[(1, 2_000_000)][0] == "extra" and len({s for s, *_ in got.values()}) == 3
+    pages = spark.createDataFrame([(1, "u", "é"), (5, "u", "é"), (7, "v", "x"), (None, None, None)], "page_id long, url string, html string")
+    whole, damaged = ({tuple(r)[:2]: bytes(r["payload"]) for r in f.select("file", "offset", "payload").collect()} for f in (fixity.archive(pages, with_bytes=True), fixity.replica(pages)))
+    assert len(whole) == 4 and len(damaged) == 3
+    assert sorted(damaged[k] == whole[k] for k in damaged) == [False, True, True]
+
+
 def test_archive_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", "é"), (1, "u", "é"), (None, None, None), (5000, "v", "")], "page_id long, url string, html string")
     rows = sorted(map(tuple, fixity.archive(pages).select("file", "offset", "length").collect()))

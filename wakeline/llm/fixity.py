@@ -35,14 +35,15 @@ def warc_record(url: Column, html: Column) -> Column:
     return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
-def archive(pages: DataFrame) -> DataFrame:
+def archive(pages: DataFrame, with_bytes: bool = False) -> DataFrame:
     """Pages as records of archive files: file, offset, page_id, digest, in page_id order within files of FILE_PAGES ids.
 
-    Offsets are running sums of record lengths, taken file by file over lengths only.
+    Offsets are running sums of record lengths, taken file by file over lengths only, unless the bytes (payload) are asked for.
     """
     record = warc_record(F.col("url"), F.col("html"))
     slim = pages.select(
-        F.coalesce(F.floor(F.col("page_id") / FILE_PAGES), F.lit(-1)).alias("file"), "page_id", F.length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest")
+        F.coalesce(F.floor(F.col("page_id") / FILE_PAGES), F.lit(-1)).alias("file"), "page_id", F.length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"),
+        *([record.alias("payload")] if with_bytes else []),
     )
     w = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return slim.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
@@ -94,12 +95,19 @@ def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def hashed(records: DataFrame) -> DataFrame:
+    """(file, offset, digest) of records that have a payload, else a digest; payloads are hashed once."""
+    if "payload" not in records.columns:
+        return records.select("file", "offset", "digest")
+    return cut(records.select("file", "offset", F.sha2("payload", 256).alias("digest")))
+
+
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Where two replicas (file, offset, digest) differ: file, offset, state, digest_a, digest_b.
+    """Where two replicas (file, offset, payload or digest) differ: file, offset, state, digest_a, digest_b.
 
     state: ``corrupt`` (both have it, digests differ), ``missing`` (only a) or ``extra`` (only b).
     """
-    a, b = (r.select("file", "offset", "digest") for r in (a, b))
+    a, b = hashed(a), hashed(b)
     depth = depth_of(a, b)
     trees = [tree(a, depth), tree(b, depth)]
     bad = _differing(trees[0][depth], trees[1][depth], ["file", "node"]).select("file", "node")
@@ -119,22 +127,21 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     return _differing(*suspects, ["file", "offset"]).select("file", "offset", state.alias("state"), "digest_a", "digest_b")
 
 
+def replica(pages: DataFrame) -> DataFrame:
+    """Records (file, offset, payload) of a damaged copy: without page ids that leave 7 modulo 1009, flipped where they leave 5 modulo 97."""
+    rotten = F.when(F.col("page_id") % 97 == 5, F.concat(F.encode(F.lit("X"), "UTF-8"), F.col("payload"))).otherwise(F.col("payload"))
+    kept = archive(pages, with_bytes=True).where(F.coalesce(F.col("page_id") % 1009 != 7, F.lit(True)))
+    return kept.select("file", "offset", rotten.alias("payload"))
+
+
 def op1_fixity(spark, sf_dir: str) -> DataFrame:
-    """Audit the archive of all pages against a replica with planted damage.
+    """Audit the archive of all pages against a replica with planted damage, both by the bytes of all their records.
 
     The replica has lost the records of page ids that leave 7 modulo 1009 and holds flipped bytes in those that
     leave 5 modulo 97; its other records are equal.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    ours = cut(archive(pages))  # digests and offsets only
-    rotten = F.sha2(F.concat(F.lit("X"), warc_record(F.col("url"), F.col("html"))), 256)
-    damaged = pages.where(F.col("page_id") % 97 == 5).select("page_id", rotten.alias("bad"))
-    theirs = cut(
-        ours.where(F.coalesce(F.col("page_id") % 1009 != 7, F.lit(True)))
-        .join(damaged, "page_id", "left")
-        .select("file", "offset", F.coalesce("bad", "digest").alias("digest"))
-    )
-    return audit(ours, theirs)
+    return audit(cut(archive(pages)), replica(pages))
 
 
 OP1_SQL = """
