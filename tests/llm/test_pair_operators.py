@@ -178,6 +178,24 @@ def test_decontamination(spark):
     assert dec.clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_decontamination_of_short_items_with_substitutions(spark):
+    rng = random.Random(11)
+    items = [(k, words(rng, n, 5000)) for k, n in enumerate([5, 6, 9, 10, 11, 12])]
+    items += [(10 + k, words(rng, n, 5000)) for k, n in enumerate([15, 16, 18])]
+    docs, want = [], []
+    for i, item in items:
+        subs = range(len(item))
+        for n, places in enumerate((p,) if i >= 10 or len(item) < 10 else (p, q) for p in subs for q in (subs if 10 <= len(item) < 13 else [p])):
+            own = ["changed" if k in places else w for k, w in enumerate(item)]
+            docs.append((1000 * i + n, " ".join(words(rng, 20, 5000) + own + words(rng, 20, 5000))))
+            want.append((docs[-1][0], i, len(item) - len(set(places))))
+        docs.append((1000 * i + 900, " ".join(words(rng, 20, 5000) + [w if k % 3 else "gone" for k, w in enumerate(item)])))
+    d, b = spark.createDataFrame(docs, DOC), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in dec.contaminated(d, b).collect()}
+    assert {(x, y) for x, y, _ in want} == set(got)
+    assert all(got[x, y] <= n for x, y, n in want)
+
+
 def test_best_stretch():
     rng = random.Random(1)
     for _ in range(200):

@@ -5,11 +5,12 @@ ignores the others, so it still hits when ignored tokens were replaced.  All
 seeds of the benchmark items are joined with all seeds of the texts; a hit fixes
 an alignment of text and item, and along it the best-scoring stretch (a match counts 1,
 a substitution ``-PENALTY``) must hold ``LEAST`` matching tokens, or all of a shorter item.
-A positive score of that stretch means at least PENALTY / (PENALTY + 1) matches.
+A positive score of that stretch means at least PENALTY / (PENALTY + 1) matches.  Of an item under 2 * ``LEAST``
+tokens an alignment also counts if that share of all the item's tokens match.
 
 Texts' seeds first pass a Bloom filter of the benchmark's seeds, whose size is
 fixed: it only spares shuffling seeds that cannot join, whatever the benchmark's size.  Items
-shorter than a mask get a mask of their own length.
+shorter than a mask get masks of their own length, one of which misses any fifth of their tokens.
 
 Defined results: null and empty texts and items (or ones without a token) match nothing; equal texts
 have equal results, on each of their rows; items with equal text are each reported; ids may be null; other
@@ -19,6 +20,7 @@ columns are ignored.  Tokens are runs of letters, marks and digits, in lower cas
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -43,9 +45,17 @@ def tokens(text: str | None) -> list[str]:
 
 
 def masks_for(lengths: list[int]) -> list[str]:
-    """The fixed masks, and a full one for each shorter item length."""
+    """The fixed masks, and for each shorter item length those that any fifth of its tokens may be changed for.
+
+    Places are dealt to groups in turn, one more than may change or two; the masks leave out each set of as many groups.
+    """
     span = max(map(len, MASKS))
-    return [*MASKS, *["1" * n for n in sorted(set(lengths)) if 0 < n < span]]
+    out = list(MASKS)
+    for n in sorted(set(lengths)):
+        if 0 < n < span:
+            free = n // (PENALTY + 1)
+            out += ["".join("0" if k % (free + 2) in off else "1" for k in range(n)) for off in combinations(range(free + 2), free)]
+    return out
 
 
 def seed_hashes(texts: list, masks: list[str], seen: WordHash) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -133,8 +143,14 @@ def verify(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     a, b = max(0, -shift), min(len(item), len(text) - shift)
     if b <= a:
         return None
-    start, end, n = best_stretch(text[a + shift : b + shift] == item[a:b])
-    return (a + start + shift, end - start, n) if n >= min(LEAST, len(item)) else None
+    match = text[a + shift : b + shift] == item[a:b]
+    start, end, n = best_stretch(match)
+    if n < min(LEAST, len(item)):
+        at = np.flatnonzero(match)
+        if len(item) >= 2 * LEAST or len(at) * (PENALTY + 1) < PENALTY * len(item):
+            return None
+        start, end, n = int(at[0]), int(at[-1]) + 1, len(at)
+    return a + start + shift, end - start, n
 
 
 def _with_item(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
