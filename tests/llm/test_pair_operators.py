@@ -1,6 +1,7 @@
 """Near duplicates, nearest neighbours, decontamination: held against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,6 @@ from wakeline.llm import decontamination as dec
 from wakeline.llm import knn
 from wakeline.llm import near_dup as near
 from wakeline.llm.components import components
-from wakeline.llm.hashing import WordHash
 
 DOC = "doc_id long, text string"
 
@@ -18,9 +18,17 @@ def words(rng, n, vocabulary=400):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
 
+def plain_bag(text):
+    own = (text or "").split()
+    return Counter(tuple(own[k : k + 5]) for k in range(max(min(1, len(own)), len(own) - 4)))
+
+
+def plain_similarity(a, b):
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
 def classes_by_brute_force(rows, least=0.8):
-    seen = WordHash()
-    bags = [near.bag(t, seen) for _, t in rows]
+    bags = [plain_bag(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -30,7 +38,7 @@ def classes_by_brute_force(rows, least=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][1] == rows[j][1] or near.similarity(bags[i], bags[j]) >= least:
+            if rows[i][1] == rows[j][1] or plain_similarity(bags[i], bags[j]) >= least:
                 parent[root(i)] = root(j)
     return [min((rows[k][0] for k in range(len(rows)) if root(k) == root(i) and rows[k][0] is not None), default=None) for i in range(len(rows))]
 
@@ -57,16 +65,41 @@ def corpus():
     return rows
 
 
-def test_near_duplicates_equal_brute_force(spark, corpus):
+@pytest.mark.parametrize("rows, size, most", [(512, 200_000, 200_000), (3, 300, 200_000), (2, 200_000, 4), (512, 200_000, 0)])
+def test_near_duplicates_equal_brute_force(spark, corpus, monkeypatch, rows, size, most):
+    """Families in one block, in many, and taken bucket by bucket."""
+    monkeypatch.setattr(near, "ROWS", rows)
+    monkeypatch.setattr(near, "ELEMENTS", size)
+    monkeypatch.setattr(near.groups, "__defaults__", (most,))
+    monkeypatch.setattr(near.links, "__defaults__", (*near.links.__defaults__[:-1], most))
     df = spark.createDataFrame(corpus, DOC).selectExpr("*", "'c' as class_id", "1 as whole", "'t' as root", "2 as bucket")
     got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in near.near_duplicates(df).collect())
     assert got == sorted((str(i), str(c)) for (i, _), c in zip(corpus, classes_by_brute_force(corpus)))
 
 
+def test_overlaps_equal_counters():
+    rng = np.random.default_rng(3)
+    for dense in (16, 2):
+        for split in (0, 9):
+            near_, near.DENSE = near.DENSE, dense
+            try:
+                bags = [Counter(rng.integers(0, 40, rng.integers(1, 60)).tolist()) for _ in range(30)]
+                sets = [near.elements((np.array(sorted(b), np.uint64), np.array([b[k] for k in sorted(b)]))) for b in bags]
+                got = near.overlaps(sets, split)
+            finally:
+                near.DENSE = near_
+            for i in range(split or 30):
+                for j in range(split or i + 1, 30):
+                    assert got[i, j] == sum((bags[i] & bags[j]).values())
+
+
 def test_keep_one_keeps_columns_and_one_of_each(spark, corpus):
-    df = spark.createDataFrame(corpus, DOC).selectExpr("*", "'c' as whole", "doc_id as id")
+    df = spark.createDataFrame(corpus, DOC).selectExpr("*", "'c' as whole", "doc_id as id", "named_struct('a', 1) as __key", "'i' as __ID", "'w' as __whole_")
     kept = near.keep_one(df)
     assert kept.columns == df.columns
+    assert {(r["__key"]["a"], r["__ID"], r["__whole_"]) for r in kept.collect()} == {(1, "i", "w")}
+    twice = spark.createDataFrame([(1, "b", "same text"), (1, "a", "same text")], "doc_id long, more string, text string")
+    assert [r["more"] for r in near.keep_one(twice).collect()] == ["a"]
     classes = set(map(str, classes_by_brute_force(corpus)))
     rows = kept.collect()
     assert len(rows) == len(classes)

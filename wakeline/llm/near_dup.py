@@ -9,20 +9,21 @@ the signature; a component keeps its earliest point.  All processes of a text
 run in step until no later point can win.  Two texts' components are equal with
 a probability of their weighted Jaccard similarity, without bias.
 
-Candidates.  Signatures are cut in bands; texts that share a band are
-candidates, unless their weights alone or a sketch (two bits of each component) rule them out.
-Every bucket is compared with a few of its members at a time: those that stand in
-another component than the compared member are verified on the exact
-multisets, links merge components, compared members leave the bucket, and the number of
-members compared at once grows fourfold, until each bucket lies in one component.  So
-no candidate pair is skipped unless its texts are already joined, while a bucket of copies
-costs one comparison a member.
+Candidates.  Signatures are cut in bands; texts that share a band's hash are candidates, and the
+components of that relation are families.  A family of more than ``FAMILY`` texts is taken bucket by bucket
+instead, so loosely related texts don't add up to one ever larger group.
+
+Verification.  A family (or bucket) is dealt into blocks of bounded size, and every pair of its blocks
+is one task's work: the exact overlaps of all pairs of texts in it come from
+counts of common elements, no pair ever becomes a row, and only a spanning forest of the links found leaves the
+task.  A member is sent once for each block of its own family, once if the family is a single block.
 
 Exact copies collapse before all this; the classes are the connected components of the links.
 
 Defined results: texts without words (null, empty, white space) are alike only if equal (nulls
 among themselves); shorter texts than a shingle are one shingle; repeated rows share a
-class; null ids come last and a class of null ids only has a null class id; other columns are ignored.
+class; null ids come last and a class of null ids only has a null class id; other columns are ignored. Of rows
+with equal id and text, ``keep_one`` keeps that whose other columns come first as JSON text.
 """
 
 from __future__ import annotations
@@ -31,17 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.components import components
 from wakeline.llm.hashing import WordHash, mix, seeded, shingles, slices, word_hashes
-from wakeline.llm.shared import cut
+from wakeline.llm.shared import cut, fresh
 
 WORDS = 5  # words of a shingle
 SIMILARITY = 0.8  # weighted Jaccard similarity of a link
-BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band with a probability of 3e-6
-SPREAD = 5.6  # standard deviations of two sketches' differing places; a linked pair has more with a probability below 1e-6
+BANDS, ROWS_OF_BAND = 24, 4  # a pair at 0.8 shares no band with a probability of 3e-6
+FAMILY = 200_000  # most texts of a family that is taken as a whole
+ROWS, ELEMENTS = 512, 200_000  # most texts and shingles of a block, but for a single longer text
+DENSE = 16  # texts of two blocks that an element is counted pair by pair for; in more of them by a matrix product
 _SLICE = 2_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,107 +117,141 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each component, 32 components a word; places that are left over are 0."""
-    bits = np.zeros((len(sig), -(-sig.shape[1] // 32) * 32), np.uint64)
-    bits[:, : sig.shape[1]] = mix(sig.view(np.uint64)) & np.uint64(3)
-    return (bits.reshape(len(sig), -1, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
-
-
-def unlike(a: str, b: str, words: int):
-    """The number of components in which two sketches (array columns) differ."""
-    differ = [F.col(a)[k].bitwiseXOR(F.col(b)[k]) for k in range(words)]
-    return sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in differ), F.lit(0))
-
-
-def most_unlike(least: float, size: int) -> int:
-    """The most components in which the sketches of a pair of that similarity differ."""
-    p = 0.75 * (1 - least)
-    return int(size * p + SPREAD * (size * p * (1 - p)) ** 0.5)
-
-
 def _digest(text_col: str):
     return F.coalesce(F.unhex(F.md5(text_col)), F.lit(b""))
 
 
-def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(whole, weight, sketch, bucket): a row for each band hash of each distinct text with words, and its number of shingles."""
+def banded(texts: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(whole, weight, hashes): number of shingles and band hashes of each distinct text with words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = WordHash()
         for batch in batches:
+            batch = batch.drop_duplicates("whole")
             texts = batch["text"].tolist()
             for start, end in slices([len(t or "") for t in texts], _SLICE):
                 bags = [bag(t, seen) for t in texts[start:end]]
                 weight = np.array([b[1].sum() for b in bags], np.int64)
-                sig = signatures(bags, bands * rows)
                 some = np.flatnonzero(weight > 0)
-                yield pd.DataFrame({"whole": batch["whole"].to_numpy()[start:end][some], "weight": weight[some], "sketch": list(sketches(sig)[some]), "hashes": list(band_hashes(sig, bands, rows)[some])})
+                hashes = band_hashes(signatures(bags, bands * rows), bands, rows)[some]
+                yield pd.DataFrame({"whole": batch["whole"].to_numpy()[start:end][some], "weight": weight[some], "hashes": list(hashes)})
 
-    # Signatures are computed once; two steps read them.
-    one = cut(docs.mapInPandas(run, "whole binary, weight long, sketch array<long>, hashes array<long>").dropDuplicates(["whole"]))
-    return one.select("whole", "weight", "sketch", F.explode("hashes").alias("bucket"))
+    return cut(texts.mapInPandas(run, "whole binary, weight long, hashes array<long>").dropDuplicates(["whole"]))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose texts reach the similarity, with it."""
+def groups(one: DataFrame, most: int = FAMILY) -> DataFrame:
+    """(node, bucket, part): texts (by a hash of ``whole``) and the groups within which pairs are verified.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    part is a family, or a bucket of a family of more than ``most`` texts.  Texts that share no band are not listed.
+    """
+    rows = one.select(F.xxhash64("whole").alias("node"), F.explode("hashes").alias("hash"))
+    low = rows.groupBy("hash").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("hash", "low")
+    shared = cut(rows.join(low, "hash"))  # a few rows of texts that share a band, none of others
+    first = shared.groupBy("node").agg(F.min("low").alias("first"))
+    steps = shared.join(first, "node").select(F.col("first").alias("u"), F.col("low").alias("v")).distinct()
+    roots = components(steps).withColumnRenamed("node", "first")
+    family = cut(first.join(roots, "first", "left").select("node", F.coalesce("root", "first").alias("family")))
+    sizes = family.groupBy("family").agg(F.count("*").alias("n"))
+    sized = family.join(sizes, "family")
+    small = sized.where(F.col("n") <= most).select("node", F.lit(False).alias("bucket"), F.col("family").alias("part"))
+    large = sized.where(F.col("n") > most).join(shared, "node").select("node", F.lit(True).alias("bucket"), F.col("hash").alias("part"))
+    return small.union(large.distinct())
+
+
+def elements(own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A bag as a set: a hash for each shingle's first, second, ... occurrence, so shared counts are common elements."""
+    times = np.arange(int(own[1].sum())) - np.repeat(np.cumsum(own[1]) - own[1], own[1])
+    out = np.repeat(own[0], own[1])
+    return np.where(times > 0, mix(out + times.astype(np.uint64) * _GOLDEN), out)
+
+
+def overlaps(parts: list[np.ndarray], split: int = 0) -> np.ndarray:
+    """Numbers of common elements of each pair of sets (upper triangle), or of the first ``split`` sets with the others only."""
+    n = len(parts)
+    row = np.repeat(np.arange(n), [len(p) for p in parts])
+    every = np.concatenate(parts)
+    order = np.argsort(every, kind="stable")  # rows stay in order within an element
+    row, every = row[order], every[order]
+    column = np.cumsum(np.append(0, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+    shared = np.bincount(column)[column]
+    out = np.zeros(n * n, np.int64)
+    few = (shared > 1) & (shared <= DENSE)
+    r, c = row[few], column[few]
+    for d in range(1, min(DENSE, len(r))):
+        on = c[d:] == c[:-d]
+        out += np.bincount(r[:-d][on] * n + r[d:][on], minlength=n * n)
+    out = out.reshape(n, n)
+    many = shared > DENSE
+    r, c = row[many], column[many]
+    c = np.cumsum(np.append(0, c[1:] != c[:-1])) if len(c) else c
+    for start in range(0, int(c[-1]) + 1 if len(c) else 0, 4096):
+        a, b = np.searchsorted(c, [start, start + 4096])
+        m = np.zeros((n, min(4096, int(c[-1]) + 1 - start)), np.float32)
+        m[r[a:b], c[a:b] - start] = 1  # sums below 2**24 are exact
+        if split:
+            out[:split, split:] += (m[:split] @ m[split:].T).astype(np.int64)
+        else:
+            out += (m @ m.T).astype(np.int64)
+    return out
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component in a graph of n nodes."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def verified(texts: DataFrame, one: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """(u, v): links between distinct texts (whole, text) of each group that join all that are linked within it."""
+    placed = one.select(F.xxhash64("whole").alias("node"), "whole", "weight").join(parts, "node")
+    size = F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("weight") / ELEMENTS)).cast("int")
+    dealt = placed.join(placed.groupBy("bucket", "part").agg(size.alias("blocks")), ["bucket", "part"])
+    block = F.pmod(F.xxhash64("whole", F.lit(1)), F.col("blocks").cast("long")).cast("int")
+    asked = dealt.groupBy("whole").agg(F.collect_list(F.struct("bucket", "part", "blocks", block.alias("block"))).alias("places"))  # a band each at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
-        last, held = None, None
         for batch in batches:
-            keep = []
-            for u, v, a, b in zip(batch["u"], batch["v"], batch["a"], batch["b"], strict=True):
-                if v != last:  # pairs come in the order of v
-                    last, held = v, bag(b, seen)
-                if (s := similarity(bag(a, seen), held)) >= least:
-                    keep.append((u, v, s))
-            yield pd.DataFrame(keep, columns=["u", "v", "similarity"])
-
-    a, b = (texts.select(F.col("whole").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInPandas(run, "u binary, v binary, similarity double")
-
-
-def links(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, root): the components of linked distinct texts (whole, text); unlinked texts are not listed.
-    """
-    every = banded(texts, bands, rows)
-    # Buckets with a single text go before anything else; whole is counted by its own hash.
-    h = F.xxhash64("whole")
-    shared = every.groupBy("bucket").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("bucket")
-    members = cut(every.join(shared, "bucket", "left_semi"))
-    asked = members.select("whole").distinct()
-    held = cut(texts.join(asked, "whole", "left_semi").dropDuplicates(["whole"]))
-    found = None
-    roots = None
-    width = 1
-    while members.head(1):
-        own = members if roots is None else members.join(roots.withColumnRenamed("node", "whole"), "whole", "left")
-        own = own.withColumn("root", F.coalesce("root", "whole") if roots is not None else F.col("whole"))
-        if roots is not None:
-            mixed = own.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-            own = cut(own.join(mixed, "bucket", "left_semi"))
-            if not own.head(1):
-                break
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("whole"))
-        chosen = own.withColumn("rank", rank).where(F.col("rank") <= width).drop("rank") if width > 1 else None
-        if chosen is None:
-            chosen = own.groupBy("bucket").agg(F.min(F.struct("whole", "weight", "sketch", "root")).alias("m")).select("bucket", "m.*")
-        one = chosen.select("bucket", F.col("whole").alias("v"), F.col("weight").alias("vw"), F.col("root").alias("vr"), F.col("sketch").alias("vs"))
-        pairs = (
-            own.join(one, "bucket")
-            .where((F.col("root") != F.col("vr")) & (F.least("weight", "vw") >= least * F.greatest("weight", "vw")))
-            .where(unlike("sketch", "vs", -(-bands * rows // 32)) <= most_unlike(least, bands * rows))
-            .select(F.greatest("whole", "v").alias("u"), F.least("whole", "v").alias("v"))
-            .distinct()
-        )
-        new = verified(pairs, held, least).select("u", "v")
-        known = new if found is None else new.union(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        found = roots = components(known)
-        gone = chosen.select("bucket", "whole")
-        members = cut(own.select("bucket", "whole", "weight", "sketch").join(gone, ["bucket", "whole"], "left_anti"))
-        width *= 4
-    return found if found is not None else texts.select(F.col("whole").alias("node"), F.col("whole").alias("root")).limit(0)
+            bags = pa.array([elements(bag(t.as_py(), seen)).tobytes() for t in batch["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["whole"], batch["places"], bags], ["whole", "places", "bag"])
+
+    # Copies collapse within each task before texts move, then texts that stand in no group go.
+    held = texts.groupBy("whole").agg(F.first("text").alias("text")).join(asked, "whole")
+    bags = held.select("whole", "places", "text").mapInArrow(run, "whole binary, places array<struct<bucket: boolean, part: long, blocks: int, block: int>>, bag binary")
+    sent = bags.select("whole", "bag", F.explode("places").alias("p")).select("whole", "bag", "p.*")
+    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("bucket", "part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "whole", "bag")
+
+    def solve(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["block", "whole"])
+        sets = [np.frombuffer(b, np.uint64) for b in own["bag"]]
+        size = np.array([len(x) for x in sets])
+        split = int((own["block"] == key[2]).sum()) if key[2] < key[3] else 0
+        common = overlaps(sets, split)
+        common[split:, split:] *= not split  # pairs within a block are another task's
+        common[:split, :split] = 0
+        a, b = np.nonzero(np.triu(common, 1))
+        linked = common[a, b] / (size[a] + size[b] - common[a, b]) >= least
+        root = forest(len(sets), a[linked], b[linked])
+        at = np.flatnonzero(root != np.arange(len(root)))
+        whole = own["whole"].to_numpy()
+        return pd.DataFrame({"u": whole[at], "v": whole[root[at]]})
+
+    return sent.groupBy("bucket", "part", "low", "high").applyInPandas(solve, "u binary, v binary")
+
+
+def links(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS_OF_BAND, most: int = FAMILY) -> DataFrame:
+    """(node, root): the components of linked distinct texts (whole, text); unlinked texts are not listed."""
+    one = banded(texts, bands, rows)
+    return components(verified(texts, one, groups(one, most), least))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
@@ -233,12 +271,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows as they came, one of each class: that of the smallest id, then of the smallest text digest."""
+    key, id_, whole, row = fresh(docs, "key", "id", "whole", "row")
     rows = _classes(docs, id_col, text_col, least)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("whole")))
-    heads = rows.groupBy("class_key").agg(first.alias("m")).select(F.col("m.id").alias("__id"), F.col("m.whole").alias("__whole"))
-    kept = docs.withColumn("__key", _digest(text_col)).join(heads, (F.col("__key") == F.col("__whole")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__key"]).drop("__key")
+    heads = rows.groupBy("class_key").agg(first.alias("m")).select(F.col("m.id").alias(id_), F.col("m.whole").alias(whole))
+    kept = docs.withColumn(key, _digest(text_col)).join(heads, (F.col(key) == F.col(whole)) & F.col(id_col).eqNullSafe(F.col(id_)), "left_semi")
+    order = F.to_json(F.struct(*[c for c in docs.columns if c != text_col]))
+    one = kept.groupBy(id_col, key).agg(F.min_by(F.struct(*docs.columns), order).alias(row))
+    return one.select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def op7_near_dup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and class_rows of every document; odd rows as the module says."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

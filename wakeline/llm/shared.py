@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
@@ -10,10 +11,16 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the session's own folder, or a temporary one where none is set (tests)."""
+    """Make checkpoint() usable with the folder that the session names.
+
+    Without one, a session within one process (tests) gets a temporary folder; on a cluster that is an error.
+    """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wakeline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wakeline-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that the frame lacks, upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    end = ""
+    while any(f"__{n}{end}".lower() in taken for n in names):
+        end += "_"
+    return [f"__{n}{end}" for n in names]
+
+
 def append_columns(df: DataFrame, make, inputs: list[str], outputs: list[tuple[str, DataType]]) -> DataFrame:
     """The rows as they came with more columns, computed in Arrow batches.
 
