@@ -2,25 +2,29 @@
 
 Two generative bag-of-n-grams models share ``2**BITS`` hashed buckets: one of the
 target texts (labelled good) and one of the raw corpus (all documents).  A
-text's importance is the mean log ratio of its n-grams under both.  The
+text's importance is the mean log ratio of its n-grams' probabilities under both.  The
 n-grams are words, word pairs, word shapes (``Aa.``, ``AA!!``, ``a%%%``) and pairs
 of shapes, a repeated word counting as a pair of its own kind, so junk that no
 vocabulary lists still shows.
 
-Selection is Gumbel top-k: each text gets the key ``logit + Gumbel noise``,
-where the logit is the importance against the boundary that best separates
-labelled texts, in units of ``TEMPERATURE``, and the noise is a function of id, text
-and seed.  The k texts with the largest keys are a sample without replacement
-in proportion to exp(logit); k defaults to the number of texts whose logit is positive.
+Weights.  The ratio of the models' likelihoods itself is useless as a sampling weight for whole texts: its logarithm is a sum over
+all n-grams, in the thousands, and lets length decide.  The weight is therefore normalised by length and tempered:
+``exp(logit)`` with ``logit = (importance - boundary) / TEMPERATURE``, where the boundary
+best separates labelled texts, so the logit stands for the log odds of a text being a target text.
+
+Selection is Gumbel top-k: each text gets the key ``logit + Gumbel noise``, the noise being a function of id, text
+and seed.  The k texts with the largest keys are a sample without replacement in proportion to exp(logit).  The sample
+size is ``k``, or else the expected number of target texts: the sum of ``1 / (1 + exp(-logit))`` over all texts.  Texts
+a few units around the k-th key are in or out by chance; far ones practically always the same way.
 
 Corpus counts cover all documents; they meet in a vector of fixed size.  Only the boundary is
-fitted on a bounded sample (``sample`` labelled rows by hash order).  The k-th
+fitted on a bounded sample (``sample`` labelled ids by hash order).  The k-th
 key is found exactly by narrowing a histogram, without sorting texts.
 
 Defined results: null and empty texts have no n-grams and are never selected; without
 labels of both kinds the boundary is 0 (raw and target alike); texts with the
 same key as the k-th all stay, so repeated rows share their fate; ids may be
-null; of several labels of one id the lowest counts.
+null; of several labels of one id the lowest counts, and of several texts of a labelled id the least important one sets the boundary.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from wakeline.llm.hashing import KEPT, mix, slices
-from wakeline.llm.shared import append_columns, cut
+from wakeline.llm.shared import append_columns, cut, fresh
 
 BITS = 16  # hashed n-gram buckets, as a power of two
 SAMPLE = 20_000  # most labelled texts that the boundary is fitted on
@@ -143,9 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = NgramHash()
         for batch in batches:
-            yield pd.DataFrame({"good": batch["good"] > 0, "s": shared.value.importance([t or "" for t in batch["text"]], seen)})
+            yield pd.DataFrame({"id": batch["id"], "good": batch["good"] > 0, "s": shared.value.importance([t or "" for t in batch["text"]], seen)})
 
-    scored = labelled.mapInPandas(run, "good boolean, s double").where(~F.isnan("s")).collect()
+    kind = docs.schema[id_col].dataType.simpleString()
+    scored = labelled.mapInPandas(run, f"id {kind}, good boolean, s double").where(~F.isnan("s"))
+    scored = scored.groupBy("id").agg(F.first("good").alias("good"), F.min("s").alias("s")).collect()  # `sample` rows at most
     good, bad = np.sort([r["s"] for r in scored if r["good"]]), np.sort([r["s"] for r in scored if not r["good"]])
     return Resampler(ratios, boundary(good, bad))
 
@@ -161,10 +167,11 @@ def boundary(good: np.ndarray, bad: np.ndarray) -> float:
     return float((cuts[best[0]] + cuts[best[-1]]) / 2)
 
 
-def keyed(docs: DataFrame, model: Resampler, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, seed: int = SEED) -> DataFrame:
-    """``importance``, ``logit`` and ``gumbel_key`` of every row, with its id, or with all its columns (``keep``)."""
+def keyed(docs: DataFrame, model: Resampler, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, seed: int = SEED) -> tuple[DataFrame, list[str]]:
+    """Every row's id, or all its columns (``keep``), with importance, logit and Gumbel key, and the names of these three columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = (docs if keep else docs.select(id_col, text_col)).withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    name, *names = fresh(docs, "id", "importance", "logit", "key")
+    own = (docs if keep else docs.select(id_col, text_col)).withColumn(name, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
 
     def make():
         seen, model_ = NgramHash(), shared.value
@@ -176,8 +183,14 @@ def keyed(docs: DataFrame, model: Resampler, id_col: str = "doc_id", text_col: s
 
         return run
 
-    out = append_columns(own, make, ["__id", text_col], [(n, DoubleType()) for n in ("__importance", "__logit", "__key")])
-    return out.drop("__id") if keep else out.drop("__id", text_col)
+    out = append_columns(own, make, [name, text_col], [(n, DoubleType()) for n in names])
+    return (out.drop(name) if keep else out.drop(name, text_col)), names
+
+
+def expected_targets(scored: DataFrame, logit_col: str) -> int:
+    """The expected number of target texts by their logits; whole millionths are summed, so the order of rows does not matter."""
+    millionths = F.floor(1e6 / (1 + F.exp(-F.col(logit_col)))).cast("decimal(38,0)")
+    return round((scored.where(~F.isnan(logit_col)).agg(F.sum(millionths)).first()[0] or 0) / 10**6)
 
 
 def kth_largest(values: DataFrame, col: str, k: int) -> float:
@@ -209,19 +222,17 @@ def kth_largest(values: DataFrame, col: str, k: int) -> float:
 
 def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, keep: bool = False, seed: int = SEED) -> DataFrame:
     """The sampled rows: id, importance, logit and gumbel_key, or the rows as they came (``keep``)."""
-    model = fit(docs, labels, id_col, text_col)
-    slim = keyed(docs, model, id_col, text_col, seed=seed)
-    slim = slim.select(F.col(id_col), F.col("__importance").alias("importance"), F.col("__logit").alias("logit"), F.col("__key").alias("gumbel_key"))
-    slim = cut(slim)  # numbers only; the histogram reads them a few times
+    found, (importance, logit, key) = keyed(docs, fit(docs, labels, id_col, text_col), id_col, text_col, keep, seed)
+    found = cut(found.where(~F.isnan(key)))  # written once: n-grams cost more than the rows they come from
     if k is None:
-        k = slim.where(~F.isnan("logit") & (F.col("logit") > 0)).count()
-    least = kth_largest(slim, "gumbel_key", k) if k > 0 else math.inf
-    if not keep:
-        return slim.where(~F.isnan("gumbel_key") & (F.col("gumbel_key") >= least))
-    full = keyed(docs, model, id_col, text_col, keep=True, seed=seed)
-    return full.where(~F.isnan("__key") & (F.col("__key") >= least)).select(*docs.columns)
+        k = expected_targets(found, logit)
+    found = found.where(F.col(key) >= (kth_largest(found, key, k) if k > 0 else math.inf))
+    if keep:
+        return found.select(*docs.columns)
+    return found.select(F.col(id_col), F.col(importance).alias("importance"), F.col(logit).alias("logit"), F.col(key).alias("gumbel_key"))
 
 
 def op3_resampling(spark, sf_dir: str) -> DataFrame:
+    """The sampled documents with importance, logit and gumbel_key; documents without n-grams are never among them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
