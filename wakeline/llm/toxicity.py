@@ -16,7 +16,7 @@ broadcast of fixed size; all texts are then scored in Arrow batches.
 
 Defined results: null and empty texts have no terms and get the model's constant; without labelled
 rows of both classes every score is the share of toxic labels (0 if there are none);
-repeated rows give repeated results; of repeated labels of one id the toxic one
+repeated rows give repeated results; a labelled id with several texts is learned from one of them (the first by its columns); of repeated labels of one id the toxic one
 counts, null labels are left out; other columns are ignored.
 """
 
@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = FactorizationMachine(columns)
     if both:
         kind = docs.schema[id_col].dataType.simpleString()
-        found = texts.mapInPandas(featurise, f"id {kind}, y int, x array<int>").collect()
+        found = texts.mapInPandas(featurise, f"id {kind}, y int, x array<int>")
+        found = found.groupBy("id").agg(F.max("y").alias("y"), F.min("x").alias("x")).collect()  # `sample` rows at most
         rows = sorted(((r["id"], r["y"], np.array(r["x"], np.int32)) for r in found), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
         model.fit([r[2] for r in rows], np.array([float(r[1] > 0) for r in rows]))
     else:
@@ -199,6 +200,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from labels that are not held out; a null id is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id")))
     return score(docs, fit(docs, labels)).select(
