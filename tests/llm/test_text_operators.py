@@ -1,8 +1,10 @@
 """BPE, toxicity, resampling, line and suffix dedup, URL filters, fixity: brute force, SQL or held-out accuracy."""
 
 import hashlib
+import math
 import os
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -111,6 +113,48 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert np.mean(held) > 0.97
 
 
+def test_toxicity_scores_equal_the_sum_over_pairs(spark):
+    """Scores against the plain double sum over all pairs of a text's columns, and the gradients against differences of the loss."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices([f"word{j}" for j in range(40)], k=rng.randrange(0, 30)) + (["vile"] if k % 3 == 0 else []))) for k in range(300)]
+    docs, y = spark.createDataFrame(rows, DOC), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, y)
+    place = {int(c): n for n, c in enumerate(model.columns)}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert len(place) > 1
+    for k, text in rows:
+        words = {w.lower() for w in text.split()}
+        own = sorted({place[c] for w in words for c in (toxicity._column(w), toxicity._column("^" + w[:4])) if c in place})
+        pairs = sum(float(np.dot(model.v[i].astype(float), model.v[j].astype(float))) for n, i in enumerate(own) for j in own[:n])
+        margin = model.w0 + sum(float(model.w[i]) for i in own) + pairs / max(1, len(own))
+        assert abs(got[k] - 1 / (1 + math.exp(-max(-30, min(30, margin))))) < 1e-5
+    # One step of size 1 from known weights moves each parameter by its gradient over its own root of squares.
+    for penalty in (0.0, 2e-3):
+        m = toxicity.FactorizationMachine(np.arange(5, dtype=np.int32))
+        m.w[:] = [0.3, -0.2, 0.1, 0.5, -0.4]
+        x, labels = [np.array([0, 1, 3]), np.array([2, 4]), np.array([], np.int64), np.array([1, 2, 3, 4])], np.array([1.0, 0, 0, 1])
+
+        def loss(w0, w, v):
+            total = 0.0
+            for own, t in zip(x, labels):
+                pairs = sum(float(v[i] @ v[j]) for n, i in enumerate(own) for j in own[:n]) / max(1, len(own))
+                p = 1 / (1 + math.exp(-(w0 + float(sum(w[i] for i in own)) + pairs)))
+                total -= (math.log(p) if t else math.log(1 - p)) * (0.5 / 0.5)
+            return total + penalty / 2 * float((w * w).sum() + (v * v).sum())
+
+        w, v, eps = m.w.astype(float), m.v.astype(float), 1e-5
+        gw = np.array([(loss(0, w + eps * e, v) - loss(0, w - eps * e, v)) / (2 * eps) for e in np.eye(5)])
+        gv = np.array([[(loss(0, w, v + eps * np.outer(e, f)) - loss(0, w, v - eps * np.outer(e, f))) / (2 * eps) for f in np.eye(4)] for e in np.eye(5)])
+        before, start = m.w.astype(float), m.v.astype(float)
+        calls = []
+        margins = m.margins
+        m.margins = lambda *a: calls.append((m.w.copy(), m.v.copy())) or margins(*a)
+        m.fit(x, labels, steps=1, batch=4, rate=0.1, penalty=penalty)
+        after_w, after_v = calls[1]
+        assert np.allclose(after_w, before - 0.1 * gw / np.sqrt(0.1 + gw * gw), atol=1e-4)
+        assert np.allclose(after_v, start - 0.1 * gv / np.sqrt(0.1 + gv * gv), atol=1e-4)
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     none = spark.createDataFrame([(3, None), (None, 1)], "doc_id long, toxic int")
     for labels in (none, none.limit(0), spark.createDataFrame([(3, 1), (3, 0), (5, 1)], "doc_id long, toxic int")):
@@ -147,7 +191,7 @@ def junk_and_prose(n=600):
 
 def test_resampling_keeps_prose_and_rejects_junk(spark):
     rows, labels = junk_and_prose()
-    docs = spark.createDataFrame(rows, DOC).selectExpr("*", "'q' as importance", "array(1) as logit")
+    docs = spark.createDataFrame(rows, DOC).selectExpr("*", "'q' as importance", "array(1) as logit", "2 as __key", "map('a', 1) as __ID")
     y = spark.createDataFrame(labels, "doc_id long, quality int")
     kept = resampling.select(docs, y.where("doc_id < 300"), keep=True)
     assert kept.columns == docs.columns
@@ -162,13 +206,71 @@ def test_resampling_takes_exactly_k(spark):
     rows, labels = junk_and_prose(200)
     docs, y = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int")
     model = resampling.fit(docs, y)
-    keys = [r["__key"] for r in resampling.keyed(docs, model).collect()]
+    scored, (_, _, key) = resampling.keyed(docs, model)
+    keys = [r[key] for r in scored.collect()]
     for k in (1, 17, 200, 500):
         chosen = resampling.select(docs, y, k=k).collect()
         least = sorted(keys, reverse=True)[min(k, len(keys)) - 1]
         assert len(chosen) == sum(x >= least for x in keys) >= min(k, len(keys))
 
 
+def plain_buckets(text):
+    """The hashed n-grams of a text, one by one in plain integers."""
+    import xxhash
+
+    def mixed(x):
+        x = x % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return (x ^ x >> 31) % 2**resampling.BITS
+
+    digest = lambda w: xxhash.xxh3_64_intdigest(w.encode())
+    words = [digest(w.strip(".,;:!?").lower() or w) >> 16 for w in text.split()]
+    forms = [digest(resampling.shape(w)) % 2**16 for w in text.split()]
+    out = [mixed(w + (1 << 60)) for w in words] + [mixed(f + (2 << 60)) for f in forms]
+    out += [mixed((1 if a == b else b * 0x9E3779B97F4A7C15 + a) + (3 << 60)) for a, b in zip(words, words[1:])]
+    return out + [mixed((b << 16 | a) + (4 << 60)) for a, b in zip(forms, forms[1:])]
+
+
+def test_importance_and_draws_equal_plain_python(spark):
+    """Importance by Counters; then, on its own logits, how often texts are drawn over many seeds."""
+    rows, labels = junk_and_prose(160)
+    # Texts between the kinds, so that some logits are near each other.
+    rows += [(1000 + k, " ".join(a.split()[: k + 1] + b.split()[:9])) for k in range(12) for (_, a), (_, b) in [(rows[4 * k], rows[4 * k + 1])]]
+    docs, y = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = resampling.fit(docs, y.where("doc_id < 100"))
+    good = {i for i, q in labels if q and i < 100}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(plain_buckets(t))
+        target.update(plain_buckets(t) if i in good else ())
+    size = 2**resampling.BITS
+    ratio = lambda b: math.log((target[b] + 1) / (target.total() + size)) - math.log((raw[b] + 1) / (raw.total() + size))
+    scored, (importance, logit, key) = resampling.keyed(docs, model)
+    got = {r["doc_id"]: r for r in scored.collect()}
+    for i, t in rows:
+        own = plain_buckets(t)
+        assert abs(got[i][importance] - sum(map(ratio, own)) / len(own)) < 1e-9
+        assert abs(got[i][logit] - (got[i][importance] - model.boundary) / resampling.TEMPERATURE) < 1e-6
+    k = round(sum(1 / (1 + math.exp(-min(700, max(-700, r[logit])))) for r in got.values()))
+    assert resampling.expected_targets(scored, logit) == k
+    assert {r["doc_id"] for r in resampling.select(docs, y.where("doc_id < 100")).collect()} == {i for i, _ in sorted(got.items(), key=lambda x: -x[1][key])[:k]}
+    # The first draw of any set of texts falls on each in proportion to exp(logit).
+    at = sorted(rows, key=lambda r: got[r[0]][logit])
+    start = min(range(len(at) - 5), key=lambda n: got[at[n + 5][0]][logit] - got[at[n][0]][logit])
+    own = at[start : start + 6]
+    l = np.array([got[i][logit] for i, _ in own])
+    draws = [int(np.argmax(model.keys([i for i, _ in own], [t for _, t in own], l * resampling.TEMPERATURE + model.boundary, seed)[1])) for seed in range(4000)]
+    share = np.exp(l - l.max()) / np.exp(l - l.max()).sum()
+    assert share.max() < 0.9 and np.abs(np.bincount(draws, minlength=len(own)) / 4000 - share).max() < 4 * np.sqrt(0.25 / 4000)
+
+
+def test_resampling_bounds_what_repeated_ids_add(spark):
+    rows, labels = junk_and_prose(80)
+    docs, y = spark.createDataFrame(rows + rows[:20] * 5, DOC), spark.createDataFrame(labels, "doc_id long, quality int")
+    assert {r["doc_id"] for r in resampling.select(docs, y).collect()}.isdisjoint({i for i, q in labels if not q and len(rows[i][1].split()) > 30})
+
+
 def test_kth_largest(spark):
     rng = random.Random(2)
     values = [rng.uniform(-1e3, 1e3) for _ in range(300)] + [0.0, 5.5, 5.5, 5.5, -1e-300, float("nan"), None, float("inf")]
@@ -397,7 +499,7 @@ def test_audit_hashes_the_bytes_of_both_replicas(spark):
 def test_archive_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", "é"), (1, "u", "é"), (None, None, None), (5000, "v", "")], "page_id long, url string, html string")
     rows = sorted(map(tuple, fixity.archive(pages).select("file", "offset", "length").collect()))
-    assert [r[:2] for r in rows] == [(-1, 0), (0, 0), (0, rows[1][2]), (1, 0)]
+    assert [(max(-1, r[0]), r[1]) for r in rows] == [(-1, 0), (0, 0), (0, rows[1][2]), (1, 0)]
 
 
 # Registered queries with SQL

@@ -41,10 +41,10 @@ def archive(pages: DataFrame, with_bytes: bool = False) -> DataFrame:
     Offsets are running sums of record lengths, taken file by file over lengths only, unless the bytes (payload) are asked for.
     """
     record = warc_record(F.col("url"), F.col("html"))
-    slim = pages.select(
-        F.coalesce(F.floor(F.col("page_id") / FILE_PAGES), F.lit(-1)).alias("file"), "page_id", F.length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"),
-        *([record.alias("payload")] if with_bytes else []),
-    )
+    slim = pages.select("page_id", F.length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"), *([record.alias("payload")] if with_bytes else []))
+    # Pages without an id are dealt to files by their digests, however many there are.
+    unnamed = -1 - F.conv(F.substring("digest", 1, 6), 16, 10).cast("long")
+    slim = slim.withColumn("file", F.coalesce(F.floor(F.col("page_id") / FILE_PAGES), unnamed))
     w = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return slim.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
 
@@ -65,10 +65,10 @@ def parents(nodes: DataFrame) -> DataFrame:
 
 
 def tree(records: DataFrame, depth: int) -> list[DataFrame]:
-    """Levels of a replica's trees, leaves first."""
-    levels = [leaves(records)]
+    """Levels of a replica's trees, leaves first, each computed once."""
+    levels = [cut(leaves(records))]
     for _ in range(depth):
-        levels.append(parents(levels[-1]))
+        levels.append(cut(parents(levels[-1])))
     return levels
 
 
@@ -146,15 +146,17 @@ def op1_fixity(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH r AS (
-  SELECT coalesce(floor(page_id / 4096)::BIGINT, -1) AS file, page_id,
+  SELECT page_id,
          encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
            || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10)
            || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS bytes
   FROM pages
+), f AS (
+  SELECT *, coalesce(floor(page_id / 4096)::BIGINT, -1 - ('0x' || substr(sha256(bytes), 1, 6))::BIGINT) AS file FROM r
 ), o AS (
   SELECT *, sha256(bytes) AS digest,
          coalesce(sum(octet_length(bytes)) OVER (PARTITION BY file ORDER BY page_id, sha256(bytes) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
-  FROM r
+  FROM f
 )
 SELECT file, "offset", CASE WHEN page_id % 1009 = 7 THEN 'missing' ELSE 'corrupt' END AS state, digest AS digest_a,
        CASE WHEN page_id % 1009 = 7 THEN NULL ELSE sha256(encode('X') || bytes) END AS digest_b
