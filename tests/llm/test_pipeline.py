@@ -1,13 +1,15 @@
 """The pipeline's stages, and run() against a plain Python version."""
 
+import hashlib
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from wakeline.llm import bpe, decontamination, line_dedup, near_dup
+from wakeline.llm import bpe, decontamination, near_dup
 from wakeline.llm.hashing import WordHash
 
 FOLDER = "/root/testdata/sf0.001"
@@ -42,34 +44,38 @@ def folder(spark, tmp_path_factory):
     return out
 
 
+def strip_lines(rows):
+    """Line dedup in plain Python: runs of repeated pairs of lines, cut by content; the first occurrence of a chunk stays."""
+    h = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:7], 16)
+    texts = sorted({(i, hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows})
+    count = Counter(p for _, _, t in texts for p in zip(t.split("\n"), t.split("\n")[1:]))
+    chunks = []
+    for i, w, t in texts:
+        lines = t.split("\n")
+        again = [count[p] > 1 and "".join(p).strip(" \t\r\n") != "" for p in zip(lines, lines[1:])] + [False]
+        start = None
+        for n, on in enumerate(again):
+            if on and start is None:
+                start = n
+            if not on and start is not None:
+                hit = [False, *[(h(a) * 257 % 2147483647 + h(b)) % 2147483647 % 2 == 0 for a, b in zip(lines[start:n], lines[start + 1 : n + 1])]]
+                for k in range(start + 1, n + 1):
+                    if k == n or (hit[k - start] and not hit[k - start - 1] and k <= n - 2):
+                        chunks.append((tuple(lines[start : k + 1]), i, w, start))
+                        start = k + 1
+                start = None
+    first, gone = {}, {}
+    for c, i, w, p in chunks:
+        if first.setdefault(c, (i, w, p)) != (i, w, p):
+            gone.setdefault((i, w), set()).update(range(p, p + len(c)))
+    return [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get((i, hashlib.md5(t.encode()).hexdigest()), ()))) for i, t in rows]
+
+
 def by_hand(spark, folder):
     """The stages after the first in plain Python; the first is judged on its own."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [tuple(r)[:2] for r in corpus_pipeline.quality_classifier(spark, docs, folder).collect()]
-    # Lines: cut by the operator's rule, the first occurrence stays.
-    import hashlib
-
-    def chunks(text):
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in text.split("\n")]
-        out, own = [], []
-        for n, line in enumerate(text.split("\n")):
-            own.append(line)
-            before = h[n - 1] if n else 0
-            if n == len(h) - 1 or (before * 257 % 2147483647 + h[n]) % 2147483647 % line_dedup.DIVISOR == 0:
-                out.append("\n".join(own))
-                own = []
-        return out
-
-    first = {}
-    texts = sorted({(i, hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows})
-    for i, w, t in texts:
-        for p, c in enumerate(chunks(t)):
-            first.setdefault(c, (i, w, p))
-    kept = {}
-    for i, w, t in texts:
-        parts = [c for p, c in enumerate(chunks(t)) if "\n" not in c or not c.strip() or first[c] == (i, w, p)]
-        kept[(i, t)] = "\n".join(parts)
-    rows = [(i, kept[(i, t)]) for i, t in rows]
+    rows = strip_lines(rows)
     seen = WordHash()
     bags = [near_dup.bag(t, seen) for _, t in rows]
     root = list(range(len(rows)))

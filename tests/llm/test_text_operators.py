@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wakeline.llm import bpe, fixity, line_dedup, queries, resampling, suffix_dedup, toxicity, url_filter
 
@@ -324,7 +325,7 @@ def test_line_dedup_equals_sql(spark):
     con = duckdb.connect()
     frame(con, "docs", rows, "doc_id BIGINT, text VARCHAR")
     want = con.execute(
-        f"WITH {line_dedup.LINE_DEDUP_CTE} SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE kept END, coalesce(n_lines_removed, 0), coalesce(n_chunks_removed, 0) "
+        f"WITH {line_dedup.LINE_DEDUP_CTE} SELECT d.doc_id, coalesce(kept, d.text), coalesce(n_lines_removed, 0), coalesce(n_chunks_removed, 0) "
         "FROM docs d LEFT JOIN stripped s ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND md5(d.text) = s.whole"
     ).fetchall()
     got = [(r["doc_id"], r["text"], r["n_lines_removed"], r["n_chunks_removed"]) for r in got.collect()]
@@ -334,12 +335,43 @@ def test_line_dedup_equals_sql(spark):
 
 
 def test_chunks_hold_all_lines_and_resist_shifts(spark):
-    text = "\n".join(f"line {k}" for k in range(200))
-    df = spark.createDataFrame([(1, text), (2, "first\n" + text), (3, ""), (4, "a\n\nb\n")], DOC)
-    got = {r["doc_id"]: r["__chunks"] for r in line_dedup.with_chunks(df, "text").select("doc_id", "__chunks").collect()}
-    for i, t in ((1, text), (2, "first\n" + text), (3, ""), (4, "a\n\nb\n")):
-        assert "\n".join(x for c in got[i] for x in c) == t
-    assert {tuple(c) for c in got[1][2:]} <= {tuple(c) for c in got[2]}
+    lines = [f"line {k}" for k in range(200)]
+    df = spark.createDataFrame([(k, lines[k : 200 - j]) for k, j in ((0, 0), (3, 5), (198, 0), (197, 0), (196, 0))], "id int, lines array<string>")
+    got = {r["id"]: [tuple(c) for c in r["c"]] for r in df.select("id", line_dedup.cut_lines(F.col("lines")).alias("c")).collect()}
+    for k, j in ((0, 0), (3, 5), (198, 0), (197, 0), (196, 0)):
+        assert [x for a, n in got[k] for x in lines[k : 200 - j][a : a + n]] == lines[k : 200 - j] and min(n for _, n in got[k]) >= 2
+    whole, part = ({tuple(lines[k + a : k + a + n]) for a, n in got[k]} for k in (0, 3))
+    assert len(part - whole) <= 2 and len(whole) > 30
+
+
+def test_line_dedup_removes_whole_passages(spark):
+    """Passages of two lines or more between unlike lines go whole but for their first occurrence, whatever stands around them."""
+    rng = random.Random(13)
+    passages = [[f"passage {k} line {j}" for j in range(2 + k % 7)] for k in range(20)]
+    rows = [(k, n, p) for k in range(120) for n, p in enumerate(rng.sample(range(20), 3))]
+    texts, want, first = [], {}, set()
+    for k in range(120):
+        lines, kept = [f"own {k}"], [f"own {k}"]
+        for _, n, p in rows[3 * k : 3 * k + 3]:
+            around = [f"between {k} {n}", *["common line"] * (n % 2), f"after {k} {n}"]
+            lines += passages[p] + around
+            kept += ([] if p in first else passages[p]) + around
+            first.add(p)
+        texts.append((k, "\n".join(lines)))
+        want[k] = "\n".join(kept)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.strip_repeats(spark.createDataFrame(texts, DOC)).collect()}
+    assert got == want
+
+
+def test_line_dedup_leaves_other_columns_alone(spark):
+    rows = [(k, f"own {k}\na line\nanother line\nlast {k}") for k in range(4)]
+    names = ["__lines", "__id", "id", "row", "gone", "lines", "kept", "whole", "n_lines", "doc"]
+    df = spark.createDataFrame(rows, DOC).selectExpr("*", *[f"concat('{n}', doc_id) as {n}" for n in names])
+    got = line_dedup.strip_repeats(df)
+    assert got.columns == [*df.columns, "n_lines_removed", "n_chunks_removed"]
+    for r in got.collect():
+        assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names]
+        assert r["n_lines_removed"] == (2 if r["doc_id"] else 0)
 
 
 # Suffix dedup
