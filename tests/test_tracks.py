@@ -10,11 +10,12 @@ from wakeline import reporting
 from wakeline.operators.identities import identities, write_identities
 from wakeline.operators.predicates import TrackQuery, all_of, any_of, day_counts, group_counts, semi_join
 from wakeline.plans.metrics import pruning, scan_metrics
-from wakeline.plans.planner import plan
+from wakeline.plans import sweep
+from wakeline.plans.planner import describe, plan
 from wakeline.plans.queryset import queries
 from wakeline.schema import RAW_COLUMNS, TYPED
 from wakeline.sources.csv_ingest import ingest, read_lines, skipped_lines
-from wakeline.sources.layouts import LAYOUTS, Layout, bloom_columns, parse_ndv, read_layout, smart_row_group_rows, write_layout, write_layouts
+from wakeline.sources.layouts import LAYOUTS, Layout, bloom_columns, footers, parse_ndv, read_layout, smart_row_group_rows, write_layout, write_layouts
 from wakeline.streaming.ingest import ingest_new
 
 
@@ -88,6 +89,63 @@ def test_curve_layout_reads_fewer_rows(spark, tmp_path):
     assert scan_metrics(planned)["rows"] < 8_000
 
 
+def test_unpartitioned_curve_layout_is_in_order_and_days_spread(spark, tmp_path):
+    df = spark.range(40_000).select((F.rand(1) * 25 + 25).cast("float").alias("LAT"), (F.rand(2) * 50 - 120).cast("float").alias("LON"), F.lit(ts("2024-10-20")).alias("BaseDateTime"))
+    write_layout(df, str(tmp_path / "u"), Layout("u", partitioned=False, curve="hilbert2d", row_group_rows=1000))
+    held, layout = read_layout(spark, str(tmp_path / "u"), view="u")
+    assert spark.sql("SELECT count(*) AS n FROM u").first()["n"] == 40_000
+    q = TrackQuery().box((30, 32), (-100, -98))
+    assert plan(held, q, layout).first()["n"] == q.run(df).first()["n"]
+    assert scan_metrics(plan(held, q, layout))["rows"] < 8_000 and scan_metrics(held.where("LAT is not null"))["rows"] == 40_000
+    # One day, many files, each with a range of keys of its own.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the day is small for a test
+    write_layout(df, str(tmp_path / "d"), Layout("d", curve="hilbert2d"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = read_layout(spark, str(tmp_path / "d"))[0].groupBy(F.input_file_name()).agg(F.min("curve_key").alias("a"), F.max("curve_key").alias("b")).orderBy("a").collect()
+    assert len(spans) > 1 and all(x["b"] <= y["a"] for x, y in zip(spans, spans[1:]))
+
+
+def test_counts_and_bounds_come_from_footers(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "cast(id as double) as x").write.parquet(str(tmp_path / "t"))
+    own = footers(spark)
+    got = own.read.parquet(str(tmp_path / "t")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    assert tuple(got.first()) == (1000, 0.0, 999.0)
+    assert "PushedAggregation: [COUNT(*), MIN(x), MAX(x)]" in got._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_plan_descriptions():
+    q = TrackQuery().box((30, 32), (-100, -98)).during("2024-01-01", "2024-01-02").closing("groups", "VesselType")
+    layout = Layout("x", curve="hilbert2d", blooms=("MMSI",), bounds=((0, 90), (-180, 180)))
+    assert describe(q, layout) == [
+        "row group statistics + day partitions + bloom filters of MMSI + hilbert2d curve intervals", "implied: days of the time range", "implied: curve intervals of the box",
+        "filter: Range on LAT", "filter: Range on LON", "filter: Between on BaseDateTime", "operation: groups of VesselType",
+    ]
+    assert describe(TrackQuery(), LAYOUTS["monolithic"]) == ["row group statistics", "operation: count"]
+
+
+def test_sweep(spark, positions, tmp_path):
+    assert [len([c for c in sweep.cells() if c.experiment == x]) for x in ("row groups x pages", "bloom rate x values", "combined")] == [12, 9, 2]
+    assert all(sum(c.default for c in sweep.cells() if c.experiment == x.experiment) == 1 for x in sweep.cells())
+    chosen = [c for c in sweep.cells() if c.name in ("1M-1048576", "1M-1MB", "100K-64K", "100K-64KB", "optimal-all", "baseline-all")]
+    assert len(chosen) == 4
+    few = [q for q in queries() if q.name in ("mmsi multi", "gulf of mexico", "count all")]
+    sweep.run(spark, positions, str(tmp_path), chosen, few, repeats=1, warmups=0)
+    found = sweep.results(spark, str(tmp_path))
+    assert found.count() == 12 and found.groupBy("query").agg(F.count_distinct("n").alias("k")).where("k > 1").count() == 0
+    before = found.agg(F.sum("seconds")).first()[0]
+    sweep.run(spark, positions, str(tmp_path), chosen, few)  # all have results
+    assert sweep.results(spark, str(tmp_path)).agg(F.sum("seconds")).first()[0] == before
+    text = sweep.report(spark, str(tmp_path))
+    assert "| 1M | - | - | 1.00x |" in text and "No results." in text and "| baseline | 1.00x |" in text
+
+
+def test_speedup_of_a_slower_cell(spark):
+    rows = [("e", "a", "x", True, "q", 1, 1.0), ("e", "b", "x", False, "q", 1, 2.0)]
+    found = sweep.speedups(spark.createDataFrame(rows, "experiment string, row string, column string, standard boolean, query string, n long, seconds double"))
+    assert {r["row"]: r["speedup"] for r in found.collect()} == {"a": 1.0, "b": 0.5}
+
+
 def test_bloom_filters_prune(spark, tmp_path):
     df = spark.range(50_000).select((F.col("id") * 7919 % 1_000_003).alias("MMSI"), F.lit("x").alias("v"))
     path = str(tmp_path / "b")
@@ -136,6 +194,8 @@ def test_identities(spark, tmp_path):
     assert {r["mmsi_prefix"] for r in back.select("mmsi_prefix").distinct().collect()} == {1, None}
     daily = identities(df, daily=True)
     assert daily.where("MMSI = 1 and VesselName = 'N'").count() == 2
+    slim = identities(df, positions=False)
+    assert "Positions" not in slim.columns and {r["N"] for r in slim.collect()} == {3, 1}
 
 
 LINES = [

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import scalars
 from wakeline.functions.curve import CURVES, key_column, key_sql, scale
-from wakeline.operators.identities import identities, in_time, last_known
+from wakeline.operators.identities import identities, write_identities
 from wakeline.operators.predicates import TrackQuery, day_counts, group_counts, semi_join
 from wakeline.plans.planner import plan
+from wakeline.plans.metrics import scan_metrics
 from wakeline.reporting import sweep_table
-from wakeline.sources.csv_ingest import raw_rows, typed
-from wakeline.sources.layouts import Layout, axis_bounds, partition_keys, read_layout, write_layout
+from wakeline.schema import RAW_COLUMNS
+from wakeline.sources.csv_ingest import ingest, raw_rows, read_lines, skipped_lines, typed
+from wakeline.sources.layouts import Layout, bounds_row, footers, partition_keys, read_layout, smart_row_group_rows, write_layout
 
 Q = TrackQuery(time_column="ts")
 SHIP = TrackQuery(time_column="l_shipdate")
@@ -90,12 +92,17 @@ _track(
     f"SELECT {_EV} FROM events WHERE user_id = 42 AND ts >= '2024-01-14' AND ts < '2024-01-21'",
     *_E,
 )
-_track("count_all", "events", Q, "SELECT count(*) AS n FROM events")
 _track("count_groups", "events", Q.closing("groups", "event_type"), "SELECT count(DISTINCT event_type) AS n FROM events")
 _track("count_days", "events", Q.closing("days"), "SELECT count(DISTINCT ts::DATE) AS n FROM events")
 _track("distinct_ids", "events", Q.closing("distinct", "user_id"), "SELECT count(DISTINCT user_id) AS n FROM events")
 
 
+@_register("SELECT count(*) AS n FROM events")
+def count_all(spark, sf_dir):
+    """An unfiltered count, from the files' footers."""
+    return Q.run(_table(footers(spark), sf_dir, "events"))
+
+
 @_register("SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
 def group_type(spark, sf_dir):
     return group_counts(_table(spark, sf_dir, "events"), "event_type")
@@ -119,7 +126,8 @@ def day_partitions(spark, sf_dir):
 
 @_register("SELECT min(l_quantity) AS low_a, max(l_quantity) AS high_a, min(l_extendedprice) AS low_b, max(l_extendedprice) AS high_b FROM lineitem")
 def bounds(spark, sf_dir):
-    t = _table(spark, sf_dir, "lineitem")
+    """Bounds from the files' footers."""
+    t = _table(footers(spark), sf_dir, "lineitem")
     return t.agg(*[f(c).alias(f"{k}_{n}") for n, c in (("a", "l_quantity"), ("b", "l_extendedprice")) for k, f in (("low", F.min), ("high", F.max))])
 
 
@@ -136,12 +144,8 @@ FROM events GROUP BY user_id, event_type"""
 )
 def identity_rollup(spark, sf_dir):
     """Last known values of each identity, in one aggregation."""
-    order = in_time("ts", ["event_id"])
-    return (
-        _table(spark, sf_dir, "events")
-        .groupBy("user_id", "event_type")
-        .agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), last_known("value", order).alias("last_value"), last_known("event_id", order).alias("last_event"))
-    )
+    rolled = identities(_table(spark, sf_dir, "events"), ("user_id", "event_type"), "ts", ("value", "event_id"), ("ts", "event_id"), positions=False)
+    return rolled.select("user_id", "event_type", F.col("LastKnownDate").alias("last_ts"), F.col("N").alias("n"), F.col("value").alias("last_value"), F.col("event_id").alias("last_event"))
 
 
 @_register(
@@ -199,9 +203,14 @@ def curve_scale(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for a layout that a query writes and reads: in the shared folder, or a temporary one without (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wakeline-")
-    return f"{base}/layout-{uuid.uuid4().hex}"
+    """A folder for a layout that a query writes and reads: in the shared folder, or a temporary one in a session within one process (tests).
+
+    It has to outlive the query, whose result is read from it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='wakeline-')}/layout-{uuid.uuid4().hex}"
 
 
 def _layout(name: str, table: str, layout: Layout, query: TrackQuery, sql: str) -> None:
@@ -285,8 +294,76 @@ def top_ranked(spark, sf_dir):
     return n.withColumn("rank", rank).where("rank <= 5")
 
 
-@_register("SELECT min(l_quantity) AS low_a, max(l_quantity) AS high_a FROM lineitem")
+@_register("SELECT min(l_quantity) AS low_a, max(l_quantity) AS high_a, min(epoch_us(l_shipdate))::DOUBLE AS low_b, max(epoch_us(l_shipdate))::DOUBLE AS high_b FROM lineitem")
 def layout_bounds(spark, sf_dir):
-    """Bounds as layouts keep them."""
-    ((low, high),) = axis_bounds(_table(spark, sf_dir, "lineitem"), ("l_quantity",))
-    return spark.range(1).select(F.lit(low).alias("low_a"), F.lit(high).alias("high_a"))
+    """Bounds as layouts keep them, of a number and a time."""
+    row = bounds_row(_table(spark, sf_dir, "lineitem"), ("l_quantity", "l_shipdate"))
+    return row.select(*[F.col(f"{a}_{k}").alias(f"{k}_{n}") for n, a in (("a", "l_quantity"), ("b", "l_shipdate")) for k in ("low", "high")])
+
+
+@_register(f"SELECT count(*) AS n, true AS spares_rows FROM lineitem WHERE {_BOX}")
+def layout_skipping(spark, sf_dir):
+    """A box over a layout in curve order, and whether its curve intervals spare more than half of the rows that the box alone reads."""
+    path = _scratch(spark)
+    write_layout(_table(spark, sf_dir, "lineitem"), path, Layout("skipping", curve="hilbert2d", row_group_rows=500, page_bytes=4096, **_AXES))
+    df, held = read_layout(spark, path)
+    with_curve, alone = (scan_metrics(q)["rows"] for q in (plan(df, box(SHIP), held), df.where("l_quantity IS NOT NULL")))
+    return plan(df, box(SHIP), held).withColumn("spares_rows", F.lit(2 * with_curve < alone))
+
+
+@_register("SELECT greatest(1, least(1000, count(*) // count(DISTINCT ts::DATE) // 5))::INT AS row_group_rows FROM events")
+def smart_row_groups(spark, sf_dir):
+    """Rows of a row group that give an average day five groups."""
+    n = smart_row_group_rows(_table(spark, sf_dir, "events"), 1000, "ts")
+    return spark.range(1).select(F.lit(n).cast("int").alias("row_group_rows"))
+
+
+@_register(
+    """
+SELECT user_id AS "MMSI", event_type AS "VesselName", TRY_CAST(substr(user_id::VARCHAR, 1, 1) AS INT) AS mmsi_prefix,
+       max(ts) AS "LastKnownDate", count(*) AS positions FROM events GROUP BY 1, 2"""
+)
+def identity_sink(spark, sf_dir):
+    """The roll-up written by the first digit of the identity, read again."""
+    path = _scratch(spark)
+    e = _table(spark, sf_dir, "events").withColumnsRenamed({"user_id": "MMSI", "event_type": "VesselName"})
+    write_identities(identities(e, ("MMSI", "VesselName"), "ts", ("value",), ("ts", "event_id")), path)
+    return spark.read.parquet(path).select("MMSI", "VesselName", F.col("mmsi_prefix").cast("int"), "LastKnownDate", F.size("Positions").cast("long").alias("positions"))
+
+
+def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of CSV files of position reports made of events, with a header, a short line and one of too many fields."""
+    path = _scratch(spark)
+    e = _table(spark, sf_dir, "events")
+    known = {
+        "MMSI": F.col("event_id"), "BaseDateTime": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "LAT": F.col("user_id") / 4, "VesselName": F.concat(F.col("event_type"), F.lit(", A")),
+        "IMO": F.concat(F.lit("IMO"), F.col("user_id")), "TransceiverClass": F.when(F.col("event_type") == "click", "B").otherwise("A"),
+    }
+    fields = [known.get(c, F.lit(None)).cast("string").alias(c) for c in RAW_COLUMNS]
+    e.select(*fields).write.option("header", "true").option("emptyValue", "").csv(path)
+    noise = spark.createDataFrame([("1", "2"), tuple("abcdefghijklmnopqrst")[:2]], "a string, b string")
+    noise.write.mode("append").csv(path)
+    return path
+
+
+@_register(
+    """
+SELECT event_id AS "MMSI", date_trunc('second', ts) AS "BaseDateTime", (user_id / 4.0)::FLOAT AS "LAT", event_type || ', A' AS "VesselName",
+       user_id AS "IMO", event_type = 'click' AS "TransceiverClass" FROM events"""
+)
+def csv_folder(spark, sf_dir):
+    """A folder of CSV files, quoted commas among them, through line filter and typed projection."""
+    return ingest(spark, _csv_folder(spark, sf_dir)).select("MMSI", "BaseDateTime", "LAT", "VesselName", "IMO", "TransceiverClass")
+
+
+@_register("SELECT * FROM (VALUES ('1,2'), ('a,b')) AS t(line)")
+def csv_skipped(spark, sf_dir):
+    """Lines of a CSV folder that the filter skips, headers left out."""
+    lines = skipped_lines(read_lines(spark, _csv_folder(spark, sf_dir)))
+    return lines.select(F.explode("samples").alias("line")).where(~F.col("line").startswith("MMSI,"))
+
+
+@_register("SELECT least(100, count(*)) AS n FROM events")
+def csv_capped(spark, sf_dir):
+    """At most 100 rows of a CSV folder."""
+    return ingest(spark, _csv_folder(spark, sf_dir), max_rows=100).agg(F.count(F.lit(1)).alias("n"))

@@ -30,16 +30,22 @@ def identities(
     last: tuple[str, ...] = LAST_VALUES,
     fields: tuple[str, ...] = POSITION_FIELDS,
     daily: bool = False,
+    positions: bool = True,
 ) -> DataFrame:
-    """One row per identity (per day too, with ``daily``): LastKnownDate, last known values, Positions in time order."""
+    """One row per identity (per day too, with ``daily``): LastKnownDate, last known values, Positions in time order.
+
+    Without ``positions`` a row has their number, N, instead, and no row grows with a track.
+    """
     ties = [c for c in fields if c != time] + [c for c in last if c not in fields]
     order = in_time(time, ties)
     by = [*keys, *([F.to_date(time).alias("Day")] if daily else [])]
     grouped = df.groupBy(*by).agg(
         F.max(time).alias("LastKnownDate"),
         *[last_known(c, order).alias(c if c not in ("LAT", "LON") else f"Last{c}") for c in last],
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*fields).alias("p")))).alias("Positions"),
+        F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*fields).alias("p")))).alias("Positions") if positions else F.count(F.lit(1)).alias("N"),
     )
+    if not positions:
+        return grouped
     return grouped.withColumn("Positions", F.transform("Positions", lambda x: x["p"]))
 
 

@@ -57,3 +57,14 @@ def plan(df: DataFrame, query: TrackQuery, layout: Layout | None = None, interva
     """The query over a layout's table, with implied predicates."""
     implied = [day_predicate(query, layout), curve_predicate(query, layout, intervals)] if layout else []
     return query.finish(df.where(all_of([*implied, query.where()])))
+
+
+def describe(query: TrackQuery, layout: Layout) -> list[str]:
+    """What a plan over a layout consists of: what its scan can skip by, the implied predicates and the query's own filters."""
+    out = [layout.description]
+    if day_predicate(query, layout) is not None:
+        out.append("implied: days of the time range")
+    if curve_predicate(query, layout) is not None:
+        out.append("implied: curve intervals of the box")
+    out += [f"filter: {type(f).__name__} on {f.column}" for f in query.filters]
+    return [*out, f"operation: {query.operation}" + (f" of {query.column}" if query.column else "")]

@@ -8,6 +8,8 @@ Spark's own file system, so any store works.
 from __future__ import annotations
 
 import json
+import logging
+import time
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from wakeline.functions.curve import CURVES, key_column
 from wakeline.functions.scalars import day_columns
 
+log = logging.getLogger(__name__)
+
 DAY = ("year", "month", "day")
 KEY = "curve_key"
 SIDECAR = ".layout.json"
@@ -61,6 +65,22 @@ class Layout:
         return out
 
 
+    @property
+    def description(self) -> str:
+        """What a scan of the layout can skip by."""
+        parts = ["row group statistics"]
+        if self.partitioned:
+            parts.append("day partitions")
+        if self.blooms:
+            parts.append("bloom filters of " + ", ".join(self.blooms))
+        if self.curve:
+            parts.append(f"{self.curve} curve intervals")
+        return " + ".join(parts)
+
+
+#: The typed table that layouts are made of.
+SOURCE = Layout("source", partitioned=False)
+
 #: The five layouts that queries are compared on.
 LAYOUTS = {
     x.name: x
@@ -87,18 +107,36 @@ def parse_ndv(text: str) -> tuple[str, int]:
     return column, int(n)
 
 
-def axis_bounds(df: DataFrame, axes: tuple[str, ...]) -> tuple[tuple[float, float], ...]:
-    """Least and greatest value of each axis, NaN left out; (0, 0) without values."""
+def bounds_row(df: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """One row with ``<axis>_low`` and ``<axis>_high`` of each axis, NaN left out."""
 
     def number(a: str):
         kind = df.schema[a].dataType.simpleString()
         c = F.unix_micros(F.col(a).cast("timestamp")).cast("double") if kind.startswith("timestamp") else F.col(a).cast("double")
         return F.when(~F.isnan(c), c)
 
-    row = df.agg(*[f(number(a)).alias(f"{a}_{k}") for a in axes for k, f in (("low", F.min), ("high", F.max))]).first()
+    return df.agg(*[f(number(a)).alias(f"{a}_{k}") for a in axes for k, f in (("low", F.min), ("high", F.max))])
+
+
+def axis_bounds(df: DataFrame, axes: tuple[str, ...]) -> tuple[tuple[float, float], ...]:
+    """Least and greatest value of each axis, NaN left out; (0, 0) without values."""
+    row = bounds_row(df, axes).first()
     return tuple((row[f"{a}_low"] or 0.0, row[f"{a}_high"] or 0.0) for a in axes)
 
 
+def footers(spark: SparkSession) -> SparkSession:
+    """A session whose Parquet reads answer unfiltered counts and bounds of numbers and dates from the files' footers.
+
+    Spark pushes such aggregates to its second reader only; everything else is as in the given session. Files
+    whose footers lack a column's statistics (those of columns with NaN do) are an error in it.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in spark.conf.get("spark.sql.sources.useV1SourceList").split(",") if x != "parquet"))
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own
+
+
 def partition_keys(df: DataFrame, time_column: str = "BaseDateTime") -> DataFrame:
     """The distinct days of a table as partition columns, in order."""
     return df.select(*[c.alias(n) for n, c in day_columns(F.col(time_column)).items()]).distinct().orderBy(*DAY)
@@ -113,23 +151,27 @@ def smart_row_group_rows(df: DataFrame, most: int, time_column: str = "BaseDateT
 def arranged(df: DataFrame, layout: Layout) -> DataFrame:
     """The table with partition and curve columns, dealt out and sorted for the layout's files.
 
-    Days are shuffled as a whole, so a day is one file; AQE's rebalancing would split
-    days that are too large for one task.
+    Rows are dealt by ranges of day and order, so a day of any size spreads over tasks, each of
+    which has a range of its keys or times of its own, and small days share one.
     """
-    out = df
+    out, order = df, []
     if layout.curve:
         curve = CURVES[layout.curve]
         axes = [F.unix_micros(F.col(a).cast("timestamp")).cast("double") if df.schema[a].dataType.simpleString().startswith("timestamp") else F.col(a) for a in layout.axes]
         out = out.withColumn(KEY, key_column(curve, axes, list(layout.bounds)))
-    if not layout.partitioned:
+        order = [KEY]
+    if layout.partitioned:
+        out = out.withColumns(day_columns(F.col(layout.time_column)))
+        order = [*DAY, *order]
+    if not order:
         return out
-    out = out.withColumns(day_columns(F.col(layout.time_column)))
-    order = [KEY, layout.time_column] if layout.curve else [layout.time_column]
-    return out.repartition(*DAY).sortWithinPartitions(*DAY, *order)
+    return out.repartitionByRange(*order, layout.time_column).sortWithinPartitions(*order, layout.time_column)
 
 
 def write_layout(df: DataFrame, path: str, layout: Layout, overwrite: bool = False, smart: bool = False) -> Layout:
     """Write a table in a layout; returns the layout as written, with its bounds and row group size."""
+    start = time.perf_counter()
+    log.info("%s: writing to %s (%s)", layout.name, path, layout.description)
     if smart:
         layout = replace(layout, row_group_rows=smart_row_group_rows(df, layout.row_group_rows, layout.time_column))
     if layout.curve and layout.bounds is None:
@@ -138,26 +180,25 @@ def write_layout(df: DataFrame, path: str, layout: Layout, overwrite: bool = Fal
     if layout.partitioned:
         writer = writer.partitionBy(*DAY)
     writer.parquet(path)
-    _write_text(df.sparkSession, f"{path}{SIDECAR}", json.dumps(asdict(layout)))
+    write_text(df.sparkSession, f"{path}{SIDECAR}", json.dumps(asdict(layout)))
+    log.info("%s: written in %.1f s", layout.name, time.perf_counter() - start)
     return layout
 
 
 def write_layouts(df: DataFrame, folder: str, layouts: list[Layout], overwrite: bool = False, smart: bool = False) -> dict[str, Layout]:
-    """Write several layouts of one table, which is read and typed once."""
-    held = df.persist()
-    try:
-        return {x.name: write_layout(held, f"{folder}/{x.name}", x, overwrite, smart) for x in layouts}
-    finally:
-        held.unpersist()
+    """Write several layouts of one typed table, which each of them scans."""
+    return {x.name: write_layout(df, f"{folder}/{x.name}", x, overwrite, smart) for x in layouts}
 
 
-def read_layout(spark: SparkSession, path: str) -> tuple[DataFrame, Layout]:
-    """A layout's table and its metadata; a curve column written by others as unsigned is read as long."""
-    held = json.loads(_read_text(spark, f"{path}{SIDECAR}"))
+def read_layout(spark: SparkSession, path: str, view: str | None = None) -> tuple[DataFrame, Layout]:
+    """A layout's table and its metadata, also as a temporary ``view`` for SQL; a curve column written by others as unsigned is read as long."""
+    held = json.loads(read_text(spark, f"{path}{SIDECAR}"))
     layout = Layout(**held | {k: tuple(held[k]) for k in ("blooms", "axes")} | {"bounds": tuple(map(tuple, held["bounds"])) if held["bounds"] else None})
     df = spark.read.parquet(path)
     if layout.curve and df.schema[KEY].dataType.simpleString() != "bigint":
         df = df.withColumn(KEY, F.col(KEY).cast("long"))
+    if view:
+        df.createOrReplaceTempView(view)
     return df, layout
 
 
@@ -166,7 +207,7 @@ def _file(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, at = _file(spark, path)
     out = fs.create(at, True)
     try:
@@ -175,5 +216,15 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _file(spark, path)
+    fs.delete(at, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(path).collect())
