@@ -1,6 +1,8 @@
 """Near duplicates, nearest neighbours, decontamination: held against brute force."""
 
 import random
+import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -229,6 +231,61 @@ def test_decontamination_of_short_items_with_substitutions(spark):
     assert all(got[x, y] <= n for x, y, n in want)
 
 
+def overlaps_by_brute_force(texts, items):
+    """(text, item): (start, tokens, matches) over all shifts, by a search of its own for the best stretch."""
+    words = lambda t: re.findall(r"[^\W_]+", unicodedata.normalize("NFC", t or "").lower())
+    out = {}
+    for x, t in enumerate(map(words, texts)):
+        place = {}
+        for n, w in enumerate(t):
+            place.setdefault(w, []).append(n)
+        for y, i in enumerate(map(words, items)):
+            least = min(13, len(i))
+            short = 0 < len(i) < 26
+            for shift, n in Counter(a - k for k, w in enumerate(i) for a in place.get(w, ())).items():
+                if n < (min(least, 0.8 * len(i)) if short else least):
+                    continue
+                same = [0 <= k + shift < len(t) and t[k + shift] == i[k] for k in range(len(i))]
+                inside = [k for k in range(len(i)) if 0 <= k + shift < len(t)]
+                best = (0, 0, 0)
+                for a in inside:
+                    score = 0
+                    for b in range(a, inside[-1] + 1):
+                        score += 1 if same[b] else -4
+                        if score > best[0]:
+                            best = (score, a, b + 1)
+                a, b = best[1:]
+                matched = sum(same[a:b])
+                if matched < least and short and n >= 0.8 * len(i):
+                    a, b, matched = same.index(True), len(i) - same[::-1].index(True), n
+                elif matched < least:
+                    continue
+                out[x, y] = max(out.get((x, y), (0,)), (matched, -(a + shift), b - a))
+    return {k: (-v[1], v[2], v[0]) for k, v in out.items()}
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(21)
+    items = [" ".join(words(rng, n, 3000)) for n in (8, 14, 20, 30, 45, 60)] + ["la " * 40, " ".join(words(rng, 3, 9) * 12)]
+    texts = []
+    for k in range(150):
+        item = rng.choice(items).split()
+        a = rng.randrange(len(item))
+        part = item[a : a + rng.choice([9, 14, 25, 70])] if k % 2 else item
+        part = [w if rng.random() > rng.choice([0, 0.03]) else "other" for w in part]
+        texts.append(" ".join(words(rng, rng.randrange(40), 3000) + part + words(rng, rng.randrange(40), 3000)))
+    texts += texts[:20] * 3 + ["la " * 300, items[7] * 4]
+    d, b = spark.createDataFrame(list(enumerate(texts)), DOC), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["n_tokens"], r["n_matched"]) for r in dec.contaminated(d, b).collect()}
+    want = overlaps_by_brute_force(texts, items)
+    # Seeds may miss short items and alignments with several changes; what they find must be right, and nearly all is found.
+    assert set(got) <= set(want) and len(got) > 100
+    exact = {k for k, v in want.items() if v[1] == v[2] >= 13 or v[2] == len(items[k[1]].split())}
+    assert exact <= set(got) and len(want) - len(got) <= 0.03 * len(want)
+    assert all(got[k][2] <= want[k][2] for k in got) and sum(got[k] == want[k] for k in got) >= 0.97 * len(got)
+    assert sorted(r["doc_id"] for r in dec.clean(d.selectExpr("*", "1 as __whole"), b).collect()) == sorted(set(range(len(texts))) - {x for x, _ in got})
+
+
 def test_best_stretch():
     rng = random.Random(1)
     for _ in range(200):

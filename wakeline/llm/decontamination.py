@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.hashing import WordHash, mix, seeded, slices
-from wakeline.llm.shared import cut
+from wakeline.llm.shared import cut, fresh
 
 #: Positions that count, of 13 at most; eight of them in each.
 MASKS = ("1101100101011", "1011010011101", "1110010110011")
@@ -119,6 +119,7 @@ def text_seeds(docs: DataFrame, masks: list[str], filled: np.ndarray) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, bits = WordHash(), shared.value
         for batch in batches:
+            batch = batch.drop_duplicates("whole")
             whole = batch["whole"].to_numpy()
             for row, place, h in seed_hashes(batch["text"].tolist(), masks, seen):
                 ok = np.ones(len(h), bool)
@@ -174,51 +175,49 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     unique = items.select("item", "text").dropDuplicates(["item"])
     seeds = item_seeds(unique, masks)
     found = text_seeds(texts, masks, bloom(seeds))
-    hits = (
-        found.join(seeds.select("item", F.col("pos").alias("at"), "h"), "h")
-        .select("whole", "item", (F.col("pos") - F.col("at")).alias("shift"))
-        .distinct()
-    )
+    hits = found.join(seeds.select("item", F.col("pos").alias("at"), "h"), "h").select("whole", "item", (F.col("pos") - F.col("at")).alias("shift"))
     # Kept apart from texts: small rows, written once, that only texts with a hit have.
-    hits = cut(hits)
-    asked = hits.join(unique.withColumnRenamed("text", "item_text"), "item")
-    aligned = asked.groupBy("whole").agg(F.collect_list(F.struct("item", "item_text", "shift")).alias("hits"))
-    once = texts.join(aligned.select("whole"), "whole", "left_semi").dropDuplicates(["whole"])
+    hits = cut(hits.groupBy("whole", "item").agg(F.collect_set("shift").alias("shifts")))  # the two texts' lengths at most
+    once = texts.join(hits.select("whole").distinct(), "whole", "left_semi")
+    # Copies collapse before they meet: the turned key has its own exchange, with partial aggregation in front and behind a join that may be split.
+    once = once.groupBy(F.reverse("whole").alias("turned")).agg(F.first("whole").alias("whole"), F.first("text").alias("text")).drop("turned")
+    asked = hits.join(unique.withColumnRenamed("text", "item_text"), "item").join(once, "whole")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = WordHash()
+        last, h = None, None
         for batch in batches:
             out = []
-            for whole, text, own in zip(batch["whole"], batch["text"], batch["hits"], strict=True):
-                words = tokens(text)
-                h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-                best: dict[str, tuple] = {}
-                held: dict[str, np.ndarray] = {}
-                for hit in own:
-                    item = hit["item"]
-                    if item not in held:
-                        held[item] = np.array([seen[w] for w in tokens(hit["item_text"])], np.uint64)
-                    if (got := verify(h, held[item], hit["shift"])) is not None:
-                        best[item] = max(best.get(item, (0,)), (got[2], -got[0], got[1]))
-                out += [(whole, item, -b[1], b[2], b[0]) for item, b in best.items()]
+            for whole, text, item, item_text, shifts in zip(*(batch[c] for c in ("whole", "text", "item", "item_text", "shifts")), strict=True):
+                if whole != last:  # a text's rows mostly come one after the other
+                    words = tokens(text)
+                    last, h = whole, np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+                held = np.array([seen[w] for w in tokens(item_text)], np.uint64)
+                found = [got for shift in shifts if (got := verify(h, held, int(shift))) is not None]
+                if found:
+                    start, n, matched = max(found, key=lambda g: (g[2], -g[0], g[1]))
+                    out.append((whole, item, start, n, matched))
             yield pd.DataFrame(out, columns=["whole", "item", "start", "n_tokens", "n_matched"])
 
-    checked = once.join(aligned, "whole").mapInPandas(check, "whole string, item string, start int, n_tokens int, n_matched int")
+    columns = ("whole", "text", "item", "item_text", "shifts")
+    checked = asked.select(*columns).mapInPandas(check, "whole string, item string, start int, n_tokens int, n_matched int")
     return checked.join(items.select("item", "item_id"), "item").drop("item")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, item_id, start, n_tokens, n_matched of every row that overlaps an item."""
-    found = overlaps(docs, benchmark, text_col)
+    found = cut(overlaps(docs, benchmark, text_col))
     own = docs.select(F.col(id_col), F.md5(text_col).alias("whole"))
     return own.join(found, "whole").drop("whole")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that overlap no item, as they came."""
-    bad = overlaps(docs, benchmark, text_col).select(F.col("whole").alias("__whole")).distinct()
-    return docs.join(bad, F.md5(text_col) == F.col("__whole"), "left_anti")
+    (whole,) = fresh(docs, "whole")
+    bad = cut(overlaps(docs, benchmark, text_col).select(F.col("whole").alias(whole)).distinct())
+    return docs.join(bad, F.md5(text_col) == F.col(whole), "left_anti")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items, with place and length; documents without an overlap have no row."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
