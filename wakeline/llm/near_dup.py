@@ -146,12 +146,13 @@ def groups(one: DataFrame, most: int = FAMILY) -> DataFrame:
     """
     rows = one.select(F.xxhash64("whole").alias("node"), F.explode("hashes").alias("hash"))
     low = rows.groupBy("hash").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("hash", "low")
+    low = cut(low)  # an exchange of its own lets adaptive execution split a very common hash
     shared = cut(rows.join(low, "hash"))  # a few rows of texts that share a band, none of others
     first = shared.groupBy("node").agg(F.min("low").alias("first"))
     steps = shared.join(first, "node").select(F.col("first").alias("u"), F.col("low").alias("v")).distinct()
     roots = components(steps).withColumnRenamed("node", "first")
     family = cut(first.join(roots, "first", "left").select("node", F.coalesce("root", "first").alias("family")))
-    sizes = family.groupBy("family").agg(F.count("*").alias("n"))
+    sizes = cut(family.groupBy("family").agg(F.count("*").alias("n")))
     sized = family.join(sizes, "family")
     small = sized.where(F.col("n") <= most).select("node", F.lit(False).alias("bucket"), F.col("family").alias("part"))
     large = sized.where(F.col("n") > most).join(shared, "node").select("node", F.lit(True).alias("bucket"), F.col("hash").alias("part"))
@@ -213,7 +214,7 @@ def verified(texts: DataFrame, one: DataFrame, parts: DataFrame, least: float) -
     """(u, v): links between distinct texts (whole, text) of each group that join all that are linked within it."""
     placed = one.select(F.xxhash64("whole").alias("node"), "whole", "weight").join(parts, "node")
     size = F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("weight") / ELEMENTS)).cast("int")
-    dealt = placed.join(placed.groupBy("bucket", "part").agg(size.alias("blocks")), ["bucket", "part"])
+    dealt = placed.join(cut(placed.groupBy("bucket", "part").agg(size.alias("blocks"))), ["bucket", "part"])
     block = F.pmod(F.xxhash64("whole", F.lit(1)), F.col("blocks").cast("long")).cast("int")
     asked = dealt.groupBy("whole").agg(F.collect_list(F.struct("bucket", "part", "blocks", block.alias("block"))).alias("places"))  # a band each at most
 
@@ -265,7 +266,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """id, class_id (the smallest id of its class) and class_rows (the class's number of rows) of every row."""
     rows = cut(_classes(docs, id_col, text_col, least))
-    heads = rows.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("class_rows"))
+    heads = cut(rows.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("class_rows")))
     return rows.join(heads, "class_key").select(F.col("id").alias(id_col), "class_id", "class_rows")
 
 
