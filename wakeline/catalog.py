@@ -7,8 +7,8 @@ and ``customer``.
 
 from __future__ import annotations
 
+import re
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from wakeline.plans.metrics import scan_metrics
 from wakeline.reporting import sweep_table
 from wakeline.schema import RAW_COLUMNS
 from wakeline.sources.csv_ingest import ingest, raw_rows, read_lines, skipped_lines, typed
-from wakeline.sources.layouts import Layout, bounds_row, footers, partition_keys, read_layout, smart_row_group_rows, write_layout
+from wakeline.sources.layouts import Layout, bounds_row, footers, partition_keys, read_layout, scratch, smart_row_group_rows, write_layout
 
 Q = TrackQuery(time_column="ts")
 SHIP = TrackQuery(time_column="l_shipdate")
@@ -205,12 +205,12 @@ def curve_scale(spark, sf_dir):
 def _scratch(spark: SparkSession) -> str:
     """A folder for a layout that a query writes and reads: in the shared folder, or a temporary one in a session within one process (tests).
 
-    It has to outlive the query, whose result is read from it.
+    It has to outlive the query, whose result is read from it, and goes with the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='wakeline-')}/layout-{uuid.uuid4().hex}"
+    return scratch(spark, base or tempfile.gettempdir()) + "/table"
 
 
 def _layout(name: str, table: str, layout: Layout, query: TrackQuery, sql: str) -> None:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import logging
 import time
+import uuid
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -221,6 +222,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def scratch(spark: SparkSession, base: str) -> str:
+    """A new folder in ``base`` that goes when the session's process ends."""
+    path = f"{base}/wakeline-{uuid.uuid4().hex}"
+    fs, at = _file(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, at = _file(spark, path)
     fs.delete(at, True)
