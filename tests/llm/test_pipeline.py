@@ -116,6 +116,21 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs.limit(0), folder).count() == 0, name
 
 
+def test_run_over_empty_tables_and_odd_columns(spark, folder, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    names = ("documents", "labels", "benchmark")
+    for empty in (names, ("labels", "benchmark"), ("documents",)):
+        out = tmp_path / "-".join(empty)
+        for n in names:
+            df = spark.read.parquet(f"{folder}/{n}.parquet")
+            if n == "documents":
+                df = df.where("doc_id < 12 or doc_id >= 200").selectExpr("*", "'k' as __key", "1 as __id", "array(2) as __whole", "'l' as __lines", "named_struct('a', 1) as row", "'w' as whole")
+            (df.limit(0) if n in empty else df).write.parquet(f"{out}/{n}.parquet")
+        got = corpus_pipeline.run(spark, str(out))
+        assert {"doc_id", "n_tokens"} <= set(got.columns)
+        assert (got.count() > 0) == ("documents" not in empty)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_pipeline_over_a_test_table(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 100

@@ -14,11 +14,11 @@ Scores are exact integers: ``floor(1024 * x)`` per component, products summed in
 doubles where every partial sum stays below 2**53, else in Python integers that are
 cut to the range of a long.
 
-Defined results: vectors that are null, empty, or hold null or non-finite
+Defined results: vectors that are null or hold null or non-finite
 components take no part, nor do rows without an id; a vector is scored only
-against vectors of its own length.  Rows with the same id and vector count once; different
-vectors under one id are candidates each, and queries each, ranked together by the query's id.  A query
-never returns its own id.
+against vectors of its own length, so empty ones score 0 with each other.  Every row is a candidate: rows with the same id and vector meet as one
+with their number and are listed as often as they occur.  Several query rows of one id are queries each,
+ranked together by the query's id.  A query never returns its own id.
 """
 
 from __future__ import annotations
@@ -38,14 +38,14 @@ _LONG = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): the distinct ids and usable vectors, components floor(scale * x) as doubles."""
+    """(id, v, n): the distinct ids and usable vectors, components floor(scale * x) as doubles, and their numbers of rows."""
     v = F.col(vector_col)
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return (
-        vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & usable)
+        vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & usable)
         .select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-        .distinct()
-        .select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
+        .groupBy("id", "v").agg(F.count("*").alias("n"))
+        .select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"), "n")
     )
 
 
@@ -121,9 +121,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         for batch in batches:
             for dim, own in batch.groupby(batch["v"].map(len)):
                 cell, dist = shared.value.nearest(dim, _matrix(own["v"]))
-                yield pd.DataFrame({"cell": cell.astype(np.int32), "dist": dist, "id": own["id"].array, "v": own["v"].array})
+                yield pd.DataFrame({"cell": cell.astype(np.int32), "dist": dist, "id": own["id"].array, "v": own["v"].array, "n": own["n"].array})
 
-    in_cell = data.mapInPandas(assign, "cell int, dist double, id long, v array<double>")
+    in_cell = data.mapInPandas(assign, "cell int, dist double, id long, v array<double>, n long")
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, list] = {}
@@ -141,16 +141,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         cells.size[r["cell"]], cells.radius[r["cell"]], cells.least[r["cell"]] = r["n"], r["far"], list(r["least"])
     bounds = spark.sparkContext.broadcast(cells)
     blocks = F.lit((cells.size // CELL_BLOCK + 1).astype(int).tolist() or [1]).cast("array<int>")
-    members = in_cell.select("cell", F.pmod(F.xxhash64("id", "v"), F.element_at(blocks, F.col("cell") + 1).cast("long")).cast("int").alias("block"), "id", "v")
+    members = in_cell.select("cell", F.pmod(F.xxhash64("id", "v"), F.element_at(blocks, F.col("cell") + 1).cast("long")).cast("int").alias("block"), "id", "v", "n")
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, own in batch.groupby(batch["v"].map(len)):
                 if dim in bounds.value.names:
                     row, at = np.nonzero(bounds.value.search(dim, _matrix(own["v"]), k, own["same"].to_numpy()))
-                    yield pd.DataFrame({"cell": bounds.value.names[dim][at].astype(np.int32), "id": own["id"].to_numpy()[row], "v": own["v"].to_numpy()[row]})
+                    yield pd.DataFrame({"cell": bounds.value.names[dim][at].astype(np.int32), "id": own["id"].to_numpy()[row], "v": own["v"].to_numpy()[row], "n": own["n"].to_numpy()[row]})
 
-    sent = asked.mapInPandas(replicate, "cell int, id long, v array<double>")
+    sent = asked.mapInPandas(replicate, "cell int, id long, v array<double>, n long")
     per_cell = sent.groupBy("cell").agg((F.floor(F.count("*") / QUERY_BLOCK) + 1).cast("int").alias("groups"))
     groups = {r["cell"]: r["groups"] for r in per_cell.collect()}
     n_groups = F.lit([groups.get(c, 0) for c in range(len(cells.size))] or [0]).cast("array<int>")
@@ -161,14 +161,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         F.pmod(F.xxhash64("id", "v"), groups_of.cast("long")).cast("int").alias("part"),
         "id",
         "v",
+        "n",
     )
-    right = members.where(groups_of > 0).select("cell", "block", F.explode(F.sequence(F.lit(0), groups_of - 1)).alias("part"), "id", "v")
+    right = members.where(groups_of > 0).select("cell", "block", F.explode(F.sequence(F.lit(0), groups_of - 1)).alias("part"), "id", "v", "n")
 
     def solve(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(held):
             held = held.sort_values("id")
             ids, own = held["id"].to_numpy(), asked["id"].to_numpy()
+            times, copies = np.minimum(held["n"].to_numpy(), k), np.minimum(asked["n"].to_numpy(), k)
             scores = _scores(_matrix(asked["v"]), _matrix(held["v"]))
             for i, q in enumerate(own):
                 at = np.flatnonzero(ids != q)
@@ -176,6 +178,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                     cut = -np.partition(-scores[i, at], k - 1)[k - 1]
                     at = at[scores[i, at] >= cut]
                 best = at[np.lexsort((ids[at], -scores[i, at]))][:k]
+                best = np.repeat(best, times[best] * copies[i])[:k]  # as many rows as there are
                 out.append(pd.DataFrame({"query_id": q, "vec": ids[best], "score": scores[i, best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec": [], "score": []})
 
@@ -186,6 +189,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
 
 def op2_knn(spark, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring rows of each query, vec_ids divisible by 100, among all other ids' rows."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
@@ -193,10 +197,10 @@ def op2_knn(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id
+  SELECT q.vec_id AS query_id, d.vec_id, coalesce(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id AND len(q.e) = len(d.e)
 )
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
