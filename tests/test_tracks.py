@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline import reporting
+from wakeline import cli, reporting
 from wakeline.operators.identities import identities, write_identities
 from wakeline.operators.predicates import TrackQuery, all_of, any_of, day_counts, group_counts, semi_join
 from wakeline.plans.metrics import pruning, scan_metrics
@@ -274,3 +274,33 @@ def test_reports(spark):
     ran = reporting.timed(spark, "q", "a", lambda: spark.range(5).count(), repeats=1)
     assert ran.count == 5 and ran.status == "ok"
     assert reporting.timed(spark, "q", "a", lambda: 1 / 0).status.startswith("error")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "csv").mkdir()
+    lines = [LINES[0], "1,2", *[f"{k % 7},2024-10-{10 + k % 20}T0{k % 9}:00:00,{25 + k % 9},-9{k % 9}.5,1,2,3,NAME {k % 7},IMO{k},WDK{k % 7},70,0,1,2,3,4,A" for k in range(300)]]
+    (tmp_path / "csv/a.csv").write_text("\n".join(lines) + "\n")
+    source, folder = str(tmp_path / "source"), str(tmp_path / "layouts")
+    cli.main(["--set", "spark.sql.shuffle.partitions=3", "ingest", str(tmp_path / "csv"), source, "--compression-level", "3"])
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert spark.read.parquet(source).count() == 300 and "|      2|" in capsys.readouterr().out
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        cli.main(["ingest", str(tmp_path / "csv"), source])
+    chosen = ["--only", "monolithic", "--only", "partitioned_curve_bloom"]
+    cli.main(["layouts", source, folder, *chosen, "--bloom", "CallSign", "--bloom-ndv-of", "CallSign=500", "--smart-row-groups"])
+    _, layout = read_layout(spark, f"{folder}/partitioned_curve_bloom")
+    assert layout.blooms == ("MMSI", "IMO", "CallSign") and layout.row_group_rows == 3 and layout.bloom_ndv_by_column == {"CallSign": 500}
+    cli.main(["--quiet", "queries", folder, *chosen, "--repeats", "1", "--warmups", "0", "--json", str(tmp_path / "r.json"), "--markdown", str(tmp_path / "r.md")])
+    timings = json.loads((tmp_path / "r.json").read_text())
+    assert len(timings) == 62 and {t["status"] for t in timings} == {"ok"} and "| count all | 300 |" in (tmp_path / "r.md").read_text()
+    capsys.readouterr()
+    cli.main(["sql", folder, "SELECT count(*) AS n FROM partitioned_curve_bloom JOIN monolithic USING (MMSI, BaseDateTime, IMO)", *chosen])
+    cli.main(["plans", folder, *chosen])
+    out = capsys.readouterr().out
+    assert "|300|" in out and "partitioned_curve_bloom, single day: " in out and "implied: days of the time range" in out
+    cli.main(["identities", source, str(tmp_path / "daily")])
+    cli.main(["identities", source, str(tmp_path / "whole"), "--whole"])
+    daily, whole = (spark.read.parquet(str(tmp_path / n)) for n in ("daily", "whole"))
+    assert "Day" in daily.columns and "Day" not in whole.columns
+    assert all(f.agg(F.sum(F.size("Positions"))).first()[0] == 300 for f in (daily, whole))

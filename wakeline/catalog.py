@@ -22,7 +22,7 @@ from wakeline.plans.metrics import scan_metrics
 from wakeline.reporting import sweep_table
 from wakeline.schema import RAW_COLUMNS
 from wakeline.sources.csv_ingest import ingest, raw_rows, read_lines, skipped_lines, typed
-from wakeline.sources.layouts import Layout, bounds_row, footers, partition_keys, read_layout, scratch, smart_row_group_rows, write_layout
+from wakeline.sources.layouts import Layout, bounds_row, footer_bounds, footers, partition_keys, read_layout, scratch, smart_row_group_rows, write_layout
 
 Q = TrackQuery(time_column="ts")
 SHIP = TrackQuery(time_column="l_shipdate")
@@ -127,8 +127,8 @@ def day_partitions(spark, sf_dir):
 @_register("SELECT min(l_quantity) AS low_a, max(l_quantity) AS high_a, min(l_extendedprice) AS low_b, max(l_extendedprice) AS high_b FROM lineitem")
 def bounds(spark, sf_dir):
     """Bounds from the files' footers."""
-    t = _table(footers(spark), sf_dir, "lineitem")
-    return t.agg(*[f(c).alias(f"{k}_{n}") for n, c in (("a", "l_quantity"), ("b", "l_extendedprice")) for k, f in (("low", F.min), ("high", F.max))])
+    row = footer_bounds(spark, f"{sf_dir}/lineitem.parquet", ("l_quantity", "l_extendedprice"))
+    return row.select(*[F.col(f"{c}_{k}").alias(f"{k}_{n}") for n, c in (("a", "l_quantity"), ("b", "l_extendedprice")) for k in ("low", "high")])
 
 
 @_register("SELECT c_custkey, TRY_CAST(substr(c_custkey::VARCHAR, 1, 1) AS INT) AS digit FROM customer")

@@ -138,6 +138,11 @@ def footers(spark: SparkSession) -> SparkSession:
     return own
 
 
+def footer_bounds(spark: SparkSession, path: str, axes: tuple[str, ...]) -> DataFrame:
+    """``bounds_row`` of a table of files for number columns without NaN, from the footers alone."""
+    return footers(spark).read.parquet(path).agg(*[f(a).alias(f"{a}_{k}") for a in axes for k, f in (("low", F.min), ("high", F.max))])
+
+
 def partition_keys(df: DataFrame, time_column: str = "BaseDateTime") -> DataFrame:
     """The distinct days of a table as partition columns, in order."""
     return df.select(*[c.alias(n) for n, c in day_columns(F.col(time_column)).items()]).distinct().orderBy(*DAY)
