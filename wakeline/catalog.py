@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import scalars
-from wakeline.functions.curve import CURVES, key_column, key_sql, scale
+from wakeline.functions.curve import CURVES, key_column, key_sql, key_sql_3d, scale
 from wakeline.operators.identities import identities, write_identities
 from wakeline.operators.predicates import TrackQuery, day_counts, group_counts, semi_join
 from wakeline.plans.planner import plan
@@ -195,6 +195,15 @@ def _curve(name: str, corrected: bool) -> None:
 _curve("compat2d", False)
 _curve("hilbert2d", True)
 
+_AXES_3D = (("l_quantity", 1.0, 50.0), ("l_extendedprice", 0.0, 120000.0), ("l_discount", 0.0, 0.1))
+_SCALED_3D = tuple(f"floor(least(greatest(({c} - {lo}::DOUBLE) / {hi - lo}::DOUBLE, 0), 1) * 2097151 + 0.5)" for c, lo, hi in _AXES_3D)
+
+
+@_register(key_sql_3d(_SCALED_3D, "lineitem", "l_orderkey, l_linenumber, l_partkey"))
+def curve_hilbert3d(spark, sf_dir):
+    key = key_column(CURVES["hilbert3d"], [F.col(c) for c, _, _ in _AXES_3D], [(lo, hi) for _, lo, hi in _AXES_3D])
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", key.alias("curve_key"))
+
 
 @_register(f"SELECT l_orderkey, l_linenumber, l_partkey, ({_X})::BIGINT AS x, ({_Y})::BIGINT AS y FROM lineitem")
 def curve_scale(spark, sf_dir):

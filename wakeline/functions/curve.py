@@ -145,3 +145,25 @@ def key_sql(x: str, y: str, source: str, keep: str, bits: int = 31, corrected: b
             f"CASE WHEN _b = 1 THEN _g ELSE xor(_f, _a) END AS _g, {turn} AS _t, _k * 4 + xor(_a, _t) * 2 + xor(xor(_a, _b), _t) AS _k FROM ({sql})"
         )
     return f"SELECT {keep}, _k AS curve_key FROM ({sql})"
+
+
+def key_sql_3d(axes: tuple[str, str, str], source: str, keep: str, bits: int = 21) -> str:
+    """DuckDB SQL for three-dimensional keys, as ``key_sql``; the state is a column for each slot's axis and flip."""
+    sql = ", ".join(f"({a})::BIGINT AS _x{n}, {n} AS _s{n}, 0 AS _f{n}" for n, a in enumerate(axes))
+    sql = f"SELECT {keep}, {sql}, 0 AS _t, 0::BIGINT AS _k FROM {source}"
+    points = "_x0, _x1, _x2"
+    for bit in range(bits - 1, -1, -1):
+        seen = ", ".join(f"xor(((CASE _s{n} WHEN 0 THEN _x0 WHEN 1 THEN _x1 ELSE _x2 END >> {bit}) & 1)::INT, _f{n}) AS _b{n}" for n in range(3))
+        sql = f"SELECT *, {seen} FROM ({sql})"
+        # A bit of 0 puts slots 0 and 1, and then 0 and 2, in each other's place.
+        sql = (
+            f"SELECT {keep}, {points}, _t, _k, _b0, _b1, _b2, _s2, _f2, CASE WHEN _b1 = 1 THEN _s0 ELSE _s1 END AS _s0, CASE WHEN _b1 = 1 THEN _s1 ELSE _s0 END AS _s1, "
+            f"CASE WHEN _b1 = 1 THEN xor(_f0, xor(_b0, _b1)) ELSE _f1 END AS _f0, CASE WHEN _b1 = 1 THEN _f1 ELSE xor(_f0, xor(_b0, _b1)) END AS _f1 FROM ({sql})"
+        )
+        digits = "xor(_b0, _t) * 4 + xor(xor(_b0, _b1), _t) * 2 + xor(xor(xor(_b0, _b1), _b2), _t)"
+        sql = (
+            f"SELECT {keep}, {points}, _s1, _f1, CASE WHEN _b2 = 1 THEN _s0 ELSE _s2 END AS _s0, CASE WHEN _b2 = 1 THEN _s2 ELSE _s0 END AS _s2, "
+            f"CASE WHEN _b2 = 1 THEN xor(_f0, _b2) ELSE _f2 END AS _f0, CASE WHEN _b2 = 1 THEN _f2 ELSE xor(_f0, _b2) END AS _f2, "
+            f"xor(_t, xor(xor(_b0, _b1), _b2)) AS _t, _k * 8 + {digits} AS _k FROM ({sql})"
+        )
+    return f"SELECT {keep}, _k AS curve_key FROM ({sql})"
