@@ -289,6 +289,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
+    """Numbers of tokens and digests of ids and decoded text of every document; a null text counts as empty."""
     import public_tokenizers
 
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

@@ -119,6 +119,7 @@ RULES = [
 
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url; odd rows as the module says."""
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
