@@ -36,7 +36,7 @@ MASKS = ("1101100101011", "1011010011101", "1110010110011")
 LEAST = 13  # matching tokens of a stretch
 PENALTY = 4  # a substitution's cost in matches
 BITS = 25  # Bloom filter size, as a power of two
-_SLICE = 2_000_000
+_SLICE = 500_000
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 

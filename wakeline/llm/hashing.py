@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-KEPT = 400_000  # words whose hashes a worker keeps
+KEPT = 100_000  # words whose hashes a worker keeps
 
 
 class WordHash(dict):

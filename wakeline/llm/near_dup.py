@@ -46,7 +46,7 @@ BANDS, ROWS_OF_BAND = 24, 4  # a pair at 0.8 shares no band with a probability o
 FAMILY = 200_000  # most texts of a family that is taken as a whole
 ROWS, ELEMENTS = 512, 200_000  # most texts and shingles of a block, but for a single longer text
 DENSE = 16  # texts of two blocks that an element is counted pair by pair for; in more of them by a matrix product
-_SLICE = 2_000_000
+_SLICE = 500_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 

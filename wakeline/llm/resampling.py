@@ -47,7 +47,7 @@ BITS = 16  # hashed n-gram buckets, as a power of two
 SAMPLE = 20_000  # most labelled texts that the boundary is fitted on
 TEMPERATURE = 0.005  # importance (nats per n-gram) that one unit of the logit stands for
 SEED = 17
-_SLICE = 2_000_000  # characters handled together
+_SLICE = 500_000  # characters handled together
 _KINDS = [(regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{Ll}+|\p{Lo}+|\p{M}+"), "a"), (regex.compile(r"\p{N}+"), "0")]
 
 

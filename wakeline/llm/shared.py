@@ -10,11 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructField, StructType
 
 
+BATCH = 1000  # most rows that a worker holds at once; texts may be long
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch in the session; a smaller setting of its own stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH:
+        spark.conf.set(setting, str(BATCH))
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable with the folder that the session names.
 
     Without one, a session within one process (tests) gets a temporary folder; on a cluster that is an error.
     """
+    small_batches(spark)
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,6 +57,7 @@ def append_columns(df: DataFrame, make, inputs: list[str], outputs: list[tuple[s
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(df.sparkSession)
     kinds = [to_arrow_type(kind) for _, kind in outputs]
     names = [*df.columns, *[n for n, _ in outputs]]
 
