@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.shared import cut
+from wakeline.llm.shared import cut, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's neighbours (the larger ones, or the others) to the smallest of them and the node itself."""
     both = edges.union(edges.select("v", "u")) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    near = both.join(cut(least), "u")  # with an exchange on either side a hub's edges can be split
+    near = both.join(cut(least) if large else least, "u")  # with an exchange on either side a hub's edges can be split
     if large:
         out = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -31,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         work = cut(_star(_star(work, large=True), large=False))
         now = state(work)
+        release(edges.sparkSession)
         if now == before:
             break
         before = now

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.hashing import WordHash, mix, seeded, slices
-from wakeline.llm.shared import cut, fresh
+from wakeline.llm.shared import cut, fresh, release
 
 #: Positions that count, of 13 at most; eight of them in each.
 MASKS = ("1101100101011", "1011010011101", "1110010110011")
@@ -163,6 +163,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
 
     One row per distinct text and item: its longest overlap, the first on ties.
     """
+    release(docs.sparkSession)
     items = _with_item(benchmark, item_id_col, item_text_col)
     texts = docs.select(F.md5(text_col).alias("whole"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 

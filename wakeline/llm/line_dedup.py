@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.shared import cut
+from wakeline.llm.shared import cut, release
 
 DIVISOR = 2  # one pair of lines in so many can end a chunk
 _BASE, _MODULUS = 257, 2147483647
@@ -77,9 +77,11 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, whole, gone): the chunks of each text, as (start, n), that occur earlier, confirmed byte by byte."""
+    release(docs.sparkSession)
     found = cut(chunks(docs, id_col, text_col).withColumn("key", F.xxhash64("chunk")))  # repeated text only, which two steps read
     at = F.struct("id", "whole", "start")
     firsts = cut(found.groupBy("key", "chunk").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))
+    release(docs.sparkSession)
     later = found.join(firsts, ["key", "chunk"]).where(~F.struct("id", "whole", "start").eqNullSafe(F.col("first")))
     return later.groupBy("id", "whole").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("gone"))
 

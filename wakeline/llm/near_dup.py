@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.components import components
 from wakeline.llm.hashing import WordHash, mix, seeded, shingles, slices, word_hashes
-from wakeline.llm.shared import cut, fresh
+from wakeline.llm.shared import cut, fresh, release
 
 WORDS = 5  # words of a shingle
 SIMILARITY = 0.8  # weighted Jaccard similarity of a link
@@ -251,8 +251,11 @@ def verified(texts: DataFrame, one: DataFrame, parts: DataFrame, least: float) -
 
 def links(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS_OF_BAND, most: int = FAMILY) -> DataFrame:
     """(node, root): the components of linked distinct texts (whole, text); unlinked texts are not listed."""
+    release(texts.sparkSession)
     one = banded(texts, bands, rows)
-    return components(verified(texts, one, groups(one, most), least))
+    parts = cut(groups(one, most))
+    release(texts.sparkSession)
+    return components(verified(texts, one, parts, least))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
@@ -266,6 +269,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """id, class_id (the smallest id of its class) and class_rows (the class's number of rows) of every row."""
     rows = cut(_classes(docs, id_col, text_col, least))
+    release(docs.sparkSession)
     heads = cut(rows.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("class_rows")))
     return rows.join(heads, "class_key").select(F.col("id").alias(id_col), "class_id", "class_rows")
 
@@ -273,7 +277,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows as they came, one of each class: that of the smallest id, then of the smallest text digest."""
     key, id_, whole, row = fresh(docs, "key", "id", "whole", "row")
-    rows = _classes(docs, id_col, text_col, least)
+    rows = cut(_classes(docs, id_col, text_col, least))
+    release(docs.sparkSession)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("whole")))
     heads = rows.groupBy("class_key").agg(first.alias("m")).select(F.col("m.id").alias(id_), F.col("m.whole").alias(whole))
     kept = docs.withColumn(key, _digest(text_col)).join(heads, (F.col(key) == F.col(whole)) & F.col(id_col).eqNullSafe(F.col(id_)), "left_semi")

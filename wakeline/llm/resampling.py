@@ -222,14 +222,16 @@ def kth_largest(values: DataFrame, col: str, k: int) -> float:
 
 def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, keep: bool = False, seed: int = SEED) -> DataFrame:
     """The sampled rows: id, importance, logit and gumbel_key, or the rows as they came (``keep``)."""
-    found, (importance, logit, key) = keyed(docs, fit(docs, labels, id_col, text_col), id_col, text_col, keep, seed)
-    found = cut(found.where(~F.isnan(key)))  # written once: n-grams cost more than the rows they come from
+    model = fit(docs, labels, id_col, text_col)
+    slim, (importance, logit, key) = keyed(docs, model, id_col, text_col, seed=seed)
+    slim = cut(slim.where(~F.isnan(key)))  # numbers only, which are read a few times
     if k is None:
-        k = expected_targets(found, logit)
-    found = found.where(F.col(key) >= (kth_largest(found, key, k) if k > 0 else math.inf))
-    if keep:
-        return found.select(*docs.columns)
-    return found.select(F.col(id_col), F.col(importance).alias("importance"), F.col(logit).alias("logit"), F.col(key).alias("gumbel_key"))
+        k = expected_targets(slim, logit)
+    least = kth_largest(slim, key, k) if k > 0 else math.inf
+    if keep:  # scored again: texts written besides would take as much disk as the table
+        full, (_, _, key) = keyed(docs, model, id_col, text_col, keep=True, seed=seed)
+        return full.where(~F.isnan(key) & (F.col(key) >= least)).select(*docs.columns)
+    return slim.where(F.col(key) >= least).select(F.col(id_col), F.col(importance).alias("importance"), F.col(logit).alias("logit"), F.col(key).alias("gumbel_key"))
 
 
 def op3_resampling(spark, sf_dir: str) -> DataFrame:

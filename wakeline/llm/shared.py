@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -49,6 +50,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [f"__{n}{end}" for n in names]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints that no DataFrame refers to any more; otherwise they stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def append_columns(df: DataFrame, make, inputs: list[str], outputs: list[tuple[str, DataType]]) -> DataFrame:
     """The rows as they came with more columns, computed in Arrow batches.
 
