@@ -428,7 +428,7 @@ def test_suffix_dedup_splits_crowded_keys(spark):
     texts = df.selectExpr("md5(text) as whole", "text")
     filled, crowded = suffix_dedup._filters(texts, block)
     assert len(crowded) == len(suffix_dedup.WIDTHS) - 1
-    dealt = suffix_dedup._segments(texts, filled, crowded, True).selectExpr("key", "segment", "octet_length(bytes) as n").distinct().groupBy("key").sum("n")
+    dealt = suffix_dedup._segments(texts, filled, crowded).selectExpr("key", "segment", "octet_length(bytes) as n").distinct().groupBy("key").sum("n")
     assert dealt.agg({"sum(n)": "max"}).first()[0] <= block
 
 

@@ -313,6 +313,7 @@ def _repeated_keys(texts: DataFrame, crowded: list[np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch.drop_duplicates("whole")
             whole = np.array([int(w[:16], 16) for w in batch["whole"]], np.uint64)
             for text, at, key in anchors(_bytes(batch["text"]), crowded=shared.value):
                 place = mix(seeded(whole[text], 5) + at.astype(np.uint64))
@@ -329,7 +330,7 @@ def _crowded(texts: DataFrame, crowded: list[np.ndarray], asked: np.ndarray, blo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         crowded, asked = shared.value
         for batch in batches:
-            own = _bytes(batch["text"])
+            own = _bytes(batch.drop_duplicates("whole")["text"])
             for text, first, windows, key in runs(own, crowded=crowded):
                 on = among(key, asked)
                 rows = zip(text[on].tolist(), first[on].tolist(), windows[on].tolist(), strict=True)
@@ -376,13 +377,14 @@ def _bloom(keys: DataFrame) -> np.ndarray:
     return filled
 
 
-def _segments(texts: DataFrame, filled: np.ndarray, crowded: list[np.ndarray], with_bytes: bool) -> DataFrame:
-    """Runs whose key may repeat: key, segment (its bytes' digest), whole, first, and the bytes or the windows."""
+def _segments(texts: DataFrame, filled: np.ndarray, crowded: list[np.ndarray]) -> DataFrame:
+    """Runs whose key may repeat: key, segment (its bytes' digest), whole, first, bytes."""
     shared = texts.sparkSession.sparkContext.broadcast((filled, crowded))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, crowded = shared.value
         for batch in batches:
+            batch = batch.drop_duplicates("whole")
             whole, own = batch["whole"].to_numpy(), _bytes(batch["text"])
             for text, first, windows, key in runs(own, crowded=crowded):
                 ok = np.ones(len(key), bool)
@@ -392,10 +394,9 @@ def _segments(texts: DataFrame, filled: np.ndarray, crowded: list[np.ndarray], w
                     continue
                 text, first, windows, key = text[ok], first[ok], windows[ok], key[ok]
                 parts = [own[t][f : f + w + LENGTH - 1] for t, f, w in zip(text.tolist(), first.tolist(), windows.tolist(), strict=True)]
-                out = {"key": key.view(np.int64), "segment": [hashlib.md5(p).digest() for p in parts], "whole": whole[text], "first": first}
-                yield pd.DataFrame(out | ({"bytes": parts} if with_bytes else {}))
+                yield pd.DataFrame({"key": key.view(np.int64), "segment": [hashlib.md5(p).digest() for p in parts], "whole": whole[text], "first": first, "bytes": parts})
 
-    return texts.mapInPandas(run, "key long, segment binary, whole string, first int" + (", bytes binary" if with_bytes else ""))
+    return texts.mapInPandas(run, "key long, segment binary, whole string, first int, bytes binary")
 
 
 def _marked(segments: DataFrame) -> DataFrame:
@@ -444,8 +445,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.select(whole.alias("whole"), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH)
     filled, crowded = _filters(texts, block)
-    marks = _marked(_segments(texts, filled, crowded, True))
-    places = _segments(texts, filled, crowded, False).dropDuplicates(["whole", "first"])
+    segments = cut(_segments(texts, filled, crowded))  # written once: hashing all texts costs more
+    marks = _marked(segments)
+    places = segments.select("key", "segment", "whole", "first").dropDuplicates(["whole", "first"])
     hit = places.join(marks, ["key", "segment"]).groupBy("whole").agg(F.collect_list(F.struct("first", "froms", "tos")).alias("marks"))
     copies = texts.groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole", F.lit(True).alias("copied"))
     slim = cut(hit.join(copies, "whole", "full_outer"))
@@ -475,4 +477,5 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Bytes of every document, bytes and spans that go, and the digest of what is left; odd rows as the module says."""
     return cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
